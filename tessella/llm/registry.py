@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, mixing, sharding
+from tessella.llm import exact_dedup, mixing, ngram_join, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op9_ngram_join": ngram_join.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
