@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, mixing, ngram_join, sharding
+from tessella.llm import exact_dedup, mixing, ngram_join, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op5_packing": packing.op5_packing,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
