@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, mixing, ngram_join, packing, sharding
+from tessella.llm import exact_dedup, line_quality, mixing, ngram_join, packing, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op4_line_quality": line_quality.op4_line_quality,
         "op5_packing": packing.op5_packing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
