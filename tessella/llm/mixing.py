@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source every document is expected ``target / source size`` times.  Documents stand in order of size, the
-expected copies are summed along that order, one random offset is added to the sums, and a document is emitted once
-per integer boundary that its stretch of the sum crosses.  As neighbours have nearly equal sizes, the words taken
-stay within about one large document of the target.
+Within a source every document is expected ``target / source size`` times.  Along a fixed order of the documents the
+expected copies are summed, one random offset is added to the sums, and a document is emitted once per integer
+boundary that its stretch of the sum crosses.  The order has 16 hashed buckets, by size within each, so that
+neighbours mostly have nearly equal sizes.  Of 32 evenly spaced offsets from a random start, a source gets the one
+whose words come nearest to its target, which matters where a few large documents hold most of a source.
 
-The order is (size bin, hash bucket, size, id).  A stretch is located by the counts of the (source, bin, bucket)
-cells before it, so a source that holds a third of all rows is ranked in many tasks; the table of counts has at most
-sources x bins x 16 rows at any input size.
+A document's place is located by the counts of the (source, bucket, size bin) cells before it, so a source that holds
+a third of all rows is ranked in many tasks; the table of counts has at most sources x 16 x bins rows at any input
+size.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; sources without words
 have target 0; repeated rows are drawn one by one; extra columns are kept by ``mixed_documents``; an empty table
@@ -19,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import documents
+from tessella.llm.shared import documents, spool
 
+OFFSETS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -75,7 +77,7 @@ def systematic_copies(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id
     bucket = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed))), 1, 1)
     x = docs.withColumn("_bin", size_bin(F.col("size"))).withColumn("_bucket", bucket)
     cells = x.groupBy("source", "_bin", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bin", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("_bucket", "_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
@@ -85,27 +87,39 @@ def systematic_copies(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")) & (F.col("_bucket") == F.col("_k"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col("source"), F.lit("")), F.lit(":" + seed))), 1, 8)
-    offset = F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(2**32))
-    return (
+    begin = F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(2**32))
+
+    def crossed(u: Column) -> Column:
+        before, after = F.col("_rate") * (F.col("_rank") - 1) + u, F.col("_rate") * F.col("_rank") + u
+        return (F.floor(after) - F.floor(before)).cast("int")
+
+    ranked = spool(
         x.withColumn("_rank", F.row_number().over(within))
         .join(starts, same)
         .withColumn("_rank", F.col("_start") + F.col("_rank"))
         .withColumn("_rate", rate)
-        .withColumn("_u", offset)
-        .withColumn(
-            "copies",
-            (
-                F.floor(F.col("_rate") * F.col("_rank") + F.col("_u"))
-                - F.floor(F.col("_rate") * (F.col("_rank") - 1) + F.col("_u"))
-            ).cast("int"),
-        )
-        .drop("_bin", "_bucket", "_s", "_b", "_k", "_start", "_rank", "_rate", "_u")
+        .drop("_bin", "_bucket", "_s", "_b", "_k", "_start"),
+        "mix-ranks",
+    )
+    offsets = [F.when(begin + k / OFFSETS < 1, begin + k / OFFSETS).otherwise(begin + k / OFFSETS - 1) for k in range(OFFSETS)]
+    taken = [F.sum(F.col("size") * crossed(u)) for u in offsets]
+    misses = ranked.groupBy("source").agg(
+        F.array_min(
+            F.array(*[F.struct(F.abs(t - F.max("target")).alias("miss"), F.lit(k).alias("k")) for k, t in enumerate(taken)])
+        )["k"].alias("_pick")
+    )
+    chosen = misses.select(F.col("source").alias("_s"), F.element_at(F.array(*offsets), F.col("_pick") + 1).alias("_u"))
+    return (
+        ranked.join(chosen, F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("copies", crossed(F.col("_u")))
+        .drop("_s", "_u", "_rate", "_rank")
     )
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """id, source, size, source_size, target and copies of every document."""
     sized = docs.select(F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = spool(sized, "mix-sizes")  # texts are read once
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return systematic_copies(sized, source_targets(sizes), id_col)
 
@@ -162,12 +176,22 @@ WITH d AS (
          substr(md5(concat(CAST(doc_id AS VARCHAR), ':mix')), 1, 1) AS k
   FROM d
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY b, k, size, doc_id) AS rank FROM x
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, b, size, doc_id) AS rank FROM x
+), o AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         CAST(CAST('0x' || substr(md5(concat(source, ':mix')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 + k / CAST(32 AS DOUBLE) AS v
+  FROM t, range(32) AS ks(k)
+), u AS (
+  SELECT * EXCLUDE (v), CASE WHEN v < 1 THEN v ELSE v - 1 END AS u FROM o
+), miss AS (
+  SELECT u.source, u.k, abs(sum(r.size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u))) - max(u.target)) AS miss
+  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY 1, 2
+), best AS (
+  SELECT source, first(k ORDER BY miss, k) AS k FROM miss GROUP BY 1
+), pick AS (
+  SELECT u.* FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source AND u.k = best.k
 )
 SELECT r.doc_id, r.size, t.source_size, t.target,
        CAST(r.size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u)) AS BIGINT) AS taken
-FROM r JOIN (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5(concat(source, ':mix')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u FROM t
-) t ON r.source IS NOT DISTINCT FROM t.source
+FROM r JOIN pick t ON r.source IS NOT DISTINCT FROM t.source
 """
