@@ -131,6 +131,20 @@ def exact_dedup(
     )
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; of rows equal in id and text any one stays."""
+    found = exact_dedup(docs, id_col, text_col)
+    gone = found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_id"), F.col("digest").alias("_gone"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rest = docs.withColumn("_digest", sha256(text)).join(
+        gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_gone")), "left_anti"
+    )
+    twice = found.where(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).select(F.col("digest").alias("_digest")).distinct()
+    if not twice.isEmpty():
+        rest = rest.join(twice, "_digest", "left_anti").unionByName(rest.join(twice, "_digest", "left_semi").dropDuplicates(["_digest"]))
+    return rest.select(*docs.columns)
+
+
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     from tessella.llm.shared import documents
 
