@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, line_quality, mixing, ngram_join, packing, sharding, toxicity
+from tessella.llm import exact_dedup, line_quality, mixing, ngram_join, packing, personal_data, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_line_quality": line_quality.op4_line_quality,
         "op5_packing": packing.op5_packing,
+        "op6_personal_data": personal_data.op6_personal_data,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
