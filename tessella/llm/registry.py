@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, line_quality, mixing, ngram_join, packing, personal_data, sharding, toxicity
+from tessella.llm import exact_dedup, line_quality, line_templates, mixing, ngram_join, packing, personal_data, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_line_templates": line_templates.op2_line_templates,
         "op3_mixing": mixing.op3_mixing,
         "op4_line_quality": line_quality.op4_line_quality,
         "op5_packing": packing.op5_packing,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op9_ngram_join": ngram_join.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op2_line_templates": line_templates.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "op9_ngram_join": ngram_join.OP9_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
