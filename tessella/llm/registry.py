@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import exact_dedup, line_quality, line_templates, mixing, ngram_join, packing, personal_data, sharding, toxicity
+from tessella.llm import exact_dedup, language_model, line_quality, line_templates, mixing, ngram_join, packing, personal_data, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_personal_data": personal_data.op6_personal_data,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_language_model": language_model.op8_language_model,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
