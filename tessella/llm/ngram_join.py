@@ -7,10 +7,16 @@
    block that is not empty finds every pair; a set with two or more empty blocks also gives its prefix of smallest
    hashes (prefix filtering), which covers what empty blocks could hide.  Sizes fall into levels so that similar sets
    lie in one level or in neighbouring ones, and size-derived bounds give the number of blocks of each level.
-3. Blocks of equal content are linked as stars, never as all pairs; connected stars form candidate blocks of rows.
+   For long n-grams, which texts hardly share by chance, prefix filtering alone needs fewer rows: similar sets share
+   one of their first few n-grams under any common order.  The order puts n-grams last that a bounded sample of
+   documents finds in several of them (shared passages), so that passages do not make candidates; the sample affects
+   only how many candidates there are, never the result.
+3. Sets that share a signature are paired if their sizes allow the similarity.  Frequent signatures give stars within
+   windows of two levels instead, never all pairs.  What these edges connect forms the candidate blocks of rows.
 4. Row blocks.  Each block is multiplied with its transpose, column chunk by column chunk, which accumulates the
    overlap counts of its pairs; pairs whose sizes or counts are below the bound are discarded.  A block of more than
-   ``block_rows`` sets is dealt into parts and every two parts are multiplied in a task of their own.  A block gives
+   ``block_rows`` sets falls into windows of two levels, and a window too large still into parts, of which every two
+   are multiplied in a task of their own.  A block gives
    a spanning forest of its links, as all that components need.
 
 No pair at or above the threshold is lost.  Defined cases: a null or empty text has no n-gram and links with nothing;
@@ -33,7 +39,13 @@ from tessella.llm.words import WordHashes, lower_words, mixed, shingles
 
 #: A side of up to so many rows (24 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A signature of up to so many sets gives their pairs, a more frequent one stars.
+PAIRS_UP_TO = 32
 _FALLBACK = 77
+#: From this length of n-grams on, prefixes find the candidates.
+PREFIX_FROM = 5
+#: Documents sampled for n-grams that are shared, documents of the sample that make one shared, most of them used.
+SAMPLE_DOCS, SHARED_BY, MOST_SHARED = 8_000, 3, 200_000
 
 
 def levels(pct: int, most: int) -> list[int]:
@@ -69,24 +81,67 @@ def block_signatures(grams: np.ndarray, pct: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
+def prefix_signatures(grams: np.ndarray, pct: int, shared: np.ndarray) -> np.ndarray:
+    """The first n-grams of a sorted set, those in ``shared`` (sorted) last; similar sets have one in common."""
+    n = len(grams)
+    if len(shared):
+        at = np.minimum(np.searchsorted(shared, grams), len(shared) - 1)
+        known = shared[at] == grams
+        grams = np.concatenate((grams[~known], grams[known]))
+    return mixed(grams[: n - -(-pct * n // 100) + 1], _FALLBACK).view(np.int64)
+
+
 def set_hash(grams: np.ndarray) -> tuple[int, int]:
     """128 bits that equal sets share."""
     both = [int(np.sum(mixed(grams, salt), dtype=np.uint64)) ^ len(grams) for salt in (11, 13)]
     return tuple(x - (1 << 64) if x >> 63 else x for x in both)
 
 
-def _incidence(n: int, pct: int):
+def _sample_counts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, s0, s1, sigs = [], [], [], []
+            sets = [shingles(hashes.of(lower_words(t.as_py())), n) for t in batch.column("text")]
+            gram, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["gram", "c"])
+
+    return run
+
+
+def shared_grams(base: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of n-grams that at least SHARED_BY of about SAMPLE_DOCS documents hold."""
+    every = max(1, base.count() // SAMPLE_DOCS)
+    sample = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text")
+    found = (
+        sample.mapInArrow(_sample_counts(n), "gram bigint, c bigint")
+        .groupBy("gram")
+        .agg(F.sum("c").alias("c"))
+        .where(F.col("c") >= SHARED_BY)
+        .orderBy(F.desc("c"), "gram")
+        .limit(MOST_SHARED)
+        .toArrow()
+    )
+    return np.sort(np.asarray(found.column(0).to_numpy()).astype(np.int64).view(np.uint64))
+
+
+def _incidence(n: int, pct: int, shared: np.ndarray | None):
+    def signatures(grams: np.ndarray) -> np.ndarray:
+        if not len(grams):
+            return np.empty(0, np.int64)
+        return block_signatures(grams, pct) if shared is None else prefix_signatures(grams, pct, shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sizes, level, s0, s1, sigs = [], [], [], [], []
             for text in batch.column("text"):
                 grams = shingles(hashes.of(lower_words(text.as_py())), n)
                 sizes.append(len(grams))
+                level.append(len(levels(pct, len(grams))) - 2)
                 a, b = set_hash(grams)
                 s0.append(a)
                 s1.append(b)
-                sigs.append(block_signatures(grams, pct) if len(grams) else np.empty(0, np.int64))
+                sigs.append(signatures(grams))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -94,11 +149,12 @@ def _incidence(n: int, pct: int):
                     batch.column("rid"),
                     batch.column("id"),
                     pa.array(sizes, pa.int64()),
+                    pa.array(level, pa.int32()),
                     pa.array(s0, pa.int64()),
                     pa.array(s1, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                names=["rid", "id", "n", "s0", "s1", "sigs"],
+                names=["rid", "id", "n", "level", "s0", "s1", "sigs"],
             )
 
     return run
@@ -162,6 +218,11 @@ def _products(n: int, pct: int):
     return run
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ngram_components(
     docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1024
 ) -> DataFrame:
@@ -170,43 +231,59 @@ def ngram_components(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
     kind = base.schema["id"].dataType.simpleString()
+    shared = shared_grams(base, n) if n >= PREFIX_FROM else None
     rows = spool(
-        base.mapInArrow(_incidence(n, pct), f"rid bigint, id {kind}, n bigint, s0 bigint, s1 bigint, sigs array<bigint>"), "ngram-rows"
+        base.mapInArrow(_incidence(n, pct, shared), f"rid bigint, id {kind}, n bigint, level int, s0 bigint, s1 bigint, sigs array<bigint>"), "ngram-rows"
     )
 
-    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("rid", "id")).alias("first"), F.min("id").alias("least"))
+    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("rid", "id")).alias("first"), F.min("id").alias("least"), F.min("level").alias("level"))
     classes = spool(
-        classes.select("s0", "s1", F.col("first.rid").alias("node"), F.col("first.id").alias("id"), "least"), "ngram-classes"
+        classes.select("s0", "s1", "level", F.col("first.rid").alias("node"), F.col("first.id").alias("id"), "least"), "ngram-classes"
     )
 
-    # stars of the sets that agree on a block; s0 stands for the class, which at worst joins two candidate blocks
-    found = rows.select(F.explode("sigs").alias("sig"), "s0")
-    centres = found.groupBy("sig").agg(F.min("s0").alias("centre"), F.max("s0").alias("top")).where("centre <> top")
-    stars = found.join(centres.select("sig", "centre"), "sig").where("s0 <> centre")
-    candidates = connected_components(stars.select(F.col("centre").alias("a"), F.col("s0").alias("b")).distinct())
-    members = spool(classes.join(candidates, classes["s0"] == candidates["node"]).select(
-        classes["node"], "id", "s0", "s1", F.col("root").alias("block")
-    ), "ngram-members")
-    parts = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows / 2)).cast("int").alias("parts"))
+    # sets that share a signature; s0 stands for the class, which at worst makes one more candidate
+    found = rows.select(F.explode("sigs").alias("sig"), "s0", "n", "level")
+    shared_sigs = found.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo <> hi")
+    shared_sigs = spool(shared_sigs.select("sig", "c"), "ngram-shared")
+    multi = spool(found.join(small(shared_sigs), "sig").select("sig", "c", "s0", "n", "level").distinct(), "ngram-multi")
+    # a small group gives its pairs within the size bound; a large one is a star in each window of two levels
+    left, right = (multi.where(F.col("c") <= PAIRS_UP_TO).select("sig", F.col("s0").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")))
+    windows = multi.where(F.col("c") > PAIRS_UP_TO).select("sig", "s0", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
+    centres = windows.groupBy("sig", "level").agg(F.min("s0").alias("centre"))
+    stars = windows.join(centres, ["sig", "level"]).where("s0 <> centre")
+    candidates = connected_components(
+        pairs.select("a", "b").unionByName(stars.select(F.col("centre").alias("a"), F.col("s0").alias("b"))).distinct()
+    )
+    members = spool(
+        classes.join(candidates, classes["s0"] == candidates["node"]).select(
+            classes["node"], "id", "s0", "s1", "level", F.col("root").alias("block")
+        ),
+        "ngram-members",
+    )
+    # a block too large for one product falls into windows of two levels, and those into parts of which every two meet
+    sizes = members.groupBy("block").agg((F.count(F.lit(1)) > block_rows).alias("large"))
+    members = members.join(sizes, "block").withColumn(
+        "window", F.explode(F.when(F.col("large"), F.array("level", F.col("level") - 1)).otherwise(F.array(F.lit(-2))))
+    )
+    parts = members.groupBy("block", "window").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows / 2)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # one part: itself; more: every two parts meet once
     meets = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("part"))),
         lambda x: F.least(x, F.col("part")).cast("bigint") * F.col("parts") + F.greatest(x, F.col("part")),
     )
     members = (
-        members.join(parts, "block")
+        members.join(parts, ["block", "window"])
         .withColumn("parts", F.when(F.col("parts") <= 2, F.lit(1)).otherwise(F.col("parts")))
         .withColumn("part", part)
         .withColumn("tile", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(meets)))
-        .select(F.col("id").alias("member_id"), "node", "s0", "s1", "block", "tile")
+        .select(F.col("id").alias("member_id"), "node", "s0", "s1", "block", "window", "tile")
     )
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    texts = base.select("id", "text").join(members, F.col("id").eqNullSafe(F.col("member_id")))
+    members = spool(members, "ngram-tiles")
+    texts = base.select("id", "text").join(small(members), F.col("id").eqNullSafe(F.col("member_id")))
     links = (
-        texts.select("text", "node", "s0", "s1", "block", "tile")
-        .groupBy("block", "tile")
+        texts.select("text", "node", "s0", "s1", "block", "window", "tile")
+        .groupBy("block", "window", "tile")
         .applyInArrow(_products(n, pct), "a bigint, b bigint")
     )
     roots = connected_components(links)

@@ -1,15 +1,18 @@
-"""The registered queries of the library and SQL for the same results."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from tessella.queries import metadata, passthrough, retrieval, semantic, text  # noqa: F401
+from tessella.queries.base import ORACLES, QUERIES
+from tessella.queries.semantic import flagship
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["flagship", "oracle_sql", "queries"]
