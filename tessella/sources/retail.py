@@ -25,8 +25,17 @@ def parse_moment(text: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "cp1252") -> DataFrame:
-    """All columns as text; types are decided by ``normalised``."""
-    return spark.read.csv(path, header=True, encoding=encoding, multiLine=False, escape='"')
+    """All columns as text; types are decided by ``normalised``.
+
+    Spark reads Latin-1 but not its Windows variant, which differs in 27 of the bytes 0x80 to 0x9F only.
+    """
+    windows = encoding.lower().replace("-", "") in ("cp1252", "windows1252")
+    df = spark.read.csv(path, header=True, encoding="ISO-8859-1" if windows else encoding, multiLine=False, escape='"')
+    if windows:
+        pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        read, meant = ("".join(x) for x in zip(*[p for p in pairs if p[1]]))
+        df = df.select(*[F.translate(f"`{c}`", read, meant).alias(c) for c in df.columns])
+    return df
 
 
 def normalised(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
