@@ -8,11 +8,13 @@
    hashes (prefix filtering), which covers what empty blocks could hide.  Sizes fall into levels so that similar sets
    lie in one level or in neighbouring ones, and size-derived bounds give the number of blocks of each level.
    For long n-grams, which texts hardly share by chance, prefix filtering alone needs fewer rows: similar sets share
-   one of their first few n-grams under any common order.  The order puts n-grams last that a bounded sample of
-   documents finds in several of them (shared passages), so that passages do not make candidates; the sample affects
-   only how many candidates there are, never the result.
-3. Sets that share a signature are paired if their sizes allow the similarity.  Frequent signatures give stars within
-   windows of two levels instead, never all pairs.  What these edges connect forms the candidate blocks of rows.
+   one of their first few n-grams under any common order.  The order puts n-grams last that a sample of one document
+   in ``SAMPLE_EVERY`` finds twice or more (shared passages), so that passages do not make candidates; the sample
+   affects only how many candidates there are, never the result.
+3. Sets that share a signature are paired if their sizes allow the similarity, and if the parities of their n-grams
+   over ``PARITY_BITS`` hashed cells do: each cell whose parity differs takes an n-gram that only one of them has, and
+   similar sets have few of those.  Frequent signatures give stars within windows of two levels instead, never all
+   pairs.  What these edges connect forms the candidate blocks of rows.
 4. Row blocks.  Each block is multiplied with its transpose, column chunk by column chunk, which accumulates the
    overlap counts of its pairs; pairs whose sizes or counts are below the bound are discarded.  A block of more than
    ``block_rows`` sets falls into windows of two levels, and a window too large still into parts, of which every two
@@ -44,8 +46,10 @@ PAIRS_UP_TO = 32
 _FALLBACK = 77
 #: From this length of n-grams on, prefixes find the candidates.
 PREFIX_FROM = 5
-#: Documents sampled for n-grams that are shared, documents of the sample that make one shared, most of them used.
-SAMPLE_DOCS, SHARED_BY, MOST_SHARED = 8_000, 3, 200_000
+#: One document in so many is sampled for n-grams that are shared, documents of the sample that make one shared, most
+#: of them used (the most frequent, 8 bytes each).
+SAMPLE_EVERY, SHARED_BY, MOST_SHARED = 8, 2, 400_000
+PARITY_BITS = 512
 
 
 def levels(pct: int, most: int) -> list[int]:
@@ -97,6 +101,13 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in both)
 
 
+def parities(grams: np.ndarray) -> list[int]:
+    """Whether the n-grams of a set in each of PARITY_BITS hashed cells are odd in number, 64 cells to an integer."""
+    cells = (mixed(grams, 21) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _sample_counts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -109,9 +120,8 @@ def _sample_counts(n: int):
 
 
 def shared_grams(base: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of n-grams that at least SHARED_BY of about SAMPLE_DOCS documents hold."""
-    every = max(1, base.count() // SAMPLE_DOCS)
-    sample = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text")
+    """Sorted hashes of n-grams that at least SHARED_BY documents of the sample hold."""
+    sample = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_EVERY)) == 0).select("text")
     found = (
         sample.mapInArrow(_sample_counts(n), "gram bigint, c bigint")
         .groupBy("gram")
@@ -133,7 +143,7 @@ def _incidence(n: int, pct: int, shared: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, level, s0, s1, sigs = [], [], [], [], []
+            sizes, level, s0, s1, odd, sigs = [], [], [], [], [], []
             for text in batch.column("text"):
                 grams = shingles(hashes.of(lower_words(text.as_py())), n)
                 sizes.append(len(grams))
@@ -141,6 +151,7 @@ def _incidence(n: int, pct: int, shared: np.ndarray | None):
                 a, b = set_hash(grams)
                 s0.append(a)
                 s1.append(b)
+                odd.append(parities(grams))
                 sigs.append(signatures(grams))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
@@ -152,9 +163,10 @@ def _incidence(n: int, pct: int, shared: np.ndarray | None):
                     pa.array(level, pa.int32()),
                     pa.array(s0, pa.int64()),
                     pa.array(s1, pa.int64()),
+                    pa.array(odd, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                names=["rid", "id", "n", "level", "s0", "s1", "sigs"],
+                names=["rid", "id", "n", "level", "s0", "s1", "odd", "sigs"],
             )
 
     return run
@@ -218,6 +230,18 @@ def _products(n: int, pct: int):
     return run
 
 
+def similar_parities(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose parities do not show that too many n-grams differ.
+
+    Of sets with na and nb n-grams at least pct % similar, at most (100 - pct) / (100 + pct) of na + nb are in one only.
+    """
+    of = lambda x: classes.select(F.col("s0").alias(x), F.col("odd").alias(f"odd_{x}"))
+    cells = [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY_BITS // 64)]
+    differ = sum(cells[1:], cells[0])
+    few = differ * (100 + pct) <= (F.col("na") + F.col("nb")) * (100 - pct)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(few).select("a", "b")
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be small; otherwise Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -233,12 +257,12 @@ def ngram_components(
     kind = base.schema["id"].dataType.simpleString()
     shared = shared_grams(base, n) if n >= PREFIX_FROM else None
     rows = spool(
-        base.mapInArrow(_incidence(n, pct, shared), f"rid bigint, id {kind}, n bigint, level int, s0 bigint, s1 bigint, sigs array<bigint>"), "ngram-rows"
+        base.mapInArrow(_incidence(n, pct, shared), f"rid bigint, id {kind}, n bigint, level int, s0 bigint, s1 bigint, odd array<bigint>, sigs array<bigint>"), "ngram-rows"
     )
 
-    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("rid", "id")).alias("first"), F.min("id").alias("least"), F.min("level").alias("level"))
+    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("rid", "id", "odd")).alias("first"), F.min("id").alias("least"), F.min("level").alias("level"))
     classes = spool(
-        classes.select("s0", "s1", "level", F.col("first.rid").alias("node"), F.col("first.id").alias("id"), "least"), "ngram-classes"
+        classes.select("s0", "s1", "level", F.col("first.rid").alias("node"), F.col("first.id").alias("id"), "least", F.col("first.odd").alias("odd")), "ngram-classes"
     )
 
     # sets that share a signature; s0 stands for the class, which at worst makes one more candidate
@@ -249,6 +273,7 @@ def ngram_components(
     # a small group gives its pairs within the size bound; a large one is a star in each window of two levels
     left, right = (multi.where(F.col("c") <= PAIRS_UP_TO).select("sig", F.col("s0").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")))
+    pairs = similar_parities(pairs.select("a", "b", "na", "nb").distinct(), classes, pct)
     windows = multi.where(F.col("c") > PAIRS_UP_TO).select("sig", "s0", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
     centres = windows.groupBy("sig", "level").agg(F.min("s0").alias("centre"))
     stars = windows.join(centres, ["sig", "level"]).where("s0 <> centre")

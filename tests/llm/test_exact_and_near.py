@@ -152,3 +152,13 @@ def test_connected_components(spark):
                 changed = True
     assert got == label
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parities_never_show_too_many_differences():
+    rng = np.random.default_rng(12)
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64))
+        keep = a[: len(a) - int(rng.integers(0, len(a)))]
+        b = np.unique(np.concatenate((keep, rng.integers(0, 2**63, int(rng.integers(0, 60)), dtype=np.uint64))))
+        differ = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(ngram_join.parities(a), ngram_join.parities(b)))
+        assert differ <= len(np.setxor1d(a, b))
