@@ -6,10 +6,11 @@ secrets (keys and tokens).  It scores whole candidate segments of up to ``MOST_T
 span as a unit (shape, digits, signs, check digit, entropy, words before it) and a dynamic program chooses the
 boundaries and types of all segments of a stretch together.
 
-Tokens are runs without white space.  Only tokens with a digit or an @ can be part of an entity ("other" has weight 0
-for all remaining tokens), so segmentations of a text fall apart at the rest; the program runs over each stretch of
-such tokens and the two tokens after them, which gives the same answer as a run over the whole text.  A text is read
-to its end.
+Tokens are runs without white space.  The program runs over stretches: every token with a digit or an @, every other
+token that the field by itself, after the words before it, would come near to call an entity, and ``MOST_TOKENS``
+tokens on both sides of each.  No segment with such a token reaches farther; at its edges a stretch goes on with
+"other".  That is the answer of a run over the whole text unless the field takes two or more tokens for an entity of
+which none stands out.  A stretch is decoded in one piece however long it is, and a text is read to its end.
 
 Weights are learned in numpy by gradient ascent on the log-likelihood (forward-backward over segments) from written
 examples: sentences made from a rule with a fixed seed, with entities in many forms and numbers that are none.
@@ -46,6 +47,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
 _TRIGGER = re.compile(r"[0-9@]")
+#: A token stands out if an entity alone scores higher than "other" or less than so much lower.
+DOUBT = 2.0
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TRIM = " .,;:!?\"'()[]{}<>|#*$%&“”«»"
 
@@ -98,6 +101,7 @@ _HINTS = {
     "ip": frozenset("ip host server address login".split()),
     "secret": frozenset("token key secret password passwd api_key apikey api-key access_key auth bearer".split()),
 }
+_HINT_WORDS = frozenset().union(*_HINTS.values(), ("=", ":", ":="))
 FEATURE_BITS = 12
 N_FEATURES = 1 << FEATURE_BITS
 
@@ -166,55 +170,73 @@ class SegmentField:
         k = len(LABELS)
         self.weights = np.zeros((N_FEATURES, k)) if weights is None else weights
         self.moves = np.zeros((k, k)) if moves is None else moves
+        self._usual: set[int] | None = None
 
     def segments(self, text: str, tokens: list[tuple[int, int]], before: list[str]) -> list[list[tuple[int, list[int]]]]:
         """For each token: (number of tokens, features) of the candidate segments that end with it."""
-        words = before + [text[a:b].strip(_TRIM).lower() or text[a:b] for a, b in tokens]
-        out = []
-        for j in range(len(tokens)):
-            own = []
-            for n in range(1, min(MOST_TOKENS, j + 1) + 1):
-                i = j - n + 1
-                if n > 1 and tokens[j][1] - tokens[i][0] > MOST_CHARS:
-                    break
-                at = len(before) + i
-                own.append((n, span_features(text, tokens[i][0], tokens[j][1], n, words[max(0, at - 3) : at])))
-            out.append(own)
-        return out
+        words = before + _words(text, tokens)
+        return [self.ending(text, tokens, words, len(before), j) for j in range(len(tokens))]
+
+    def ending(self, text: str, tokens: list[tuple[int, int]], words: list[str], skip: int, j: int) -> list[tuple[int, list[int]]]:
+        """The segments that end with token ``j``; ``words`` has ``skip`` words more, before those of the tokens."""
+        own = []
+        for n in range(1, min(MOST_TOKENS, j + 1) + 1):
+            i = j - n + 1
+            if n > 1 and tokens[j][1] - tokens[i][0] > MOST_CHARS:
+                break
+            at = skip + i
+            own.append((n, span_features(text, tokens[i][0], tokens[j][1], n, words[max(0, at - 3) : at])))
+        return own
 
     def scores(self, segments) -> list[list[tuple[int, np.ndarray]]]:
-        out = []
-        for own in segments:
-            row = []
-            for n, f in own:
-                s = self.weights[f].sum(axis=0)
-                if n > 1:
-                    s[0] = -np.inf  # other tokens stand alone
-                row.append((n, s))
-            out.append(row)
-        return out
-
-    def viterbi(self, text: str, tokens: list[tuple[int, int]], before: list[str]) -> list[tuple[int, int, int]]:
-        """(label, first token, token after the last) of the best segmentation, entities only."""
-        scores = self.scores(self.segments(text, tokens, before))
-        best, back = [None], [None]
-        for j, row in enumerate(scores):
-            value, choice = np.full(len(LABELS), -np.inf), [None] * len(LABELS)
-            for n, s in row:
-                prior = best[j + 1 - n]
+        return [self.row(own) for own in segments]
+
+    def row(self, own: list[tuple[int, list[int]]]) -> list[tuple[int, np.ndarray]]:
+        row = []
+        for n, f in own:
+            s = self.weights[f].sum(axis=0)
+            if n > 1:
+                s[0] = -np.inf  # other tokens stand alone
+            row.append((n, s))
+        return row
+
+    def stands_out(self, text: str, start: int, end: int, before: list[str]) -> bool:
+        """Whether one token between others comes near to being an entity."""
+        s, m = self.weights[span_features(text, start, end, 1, before)].sum(axis=0), self.moves
+        return (s + m[0] + m[:, 0])[1:].max() + DOUBT > s[0] + 2 * m[0, 0]
+
+    def usual(self) -> set[int]:
+        """Lengths (40 for longer) at which no word of letters only, with whatever signs round it, stands out without a hint."""
+        if self._usual is None:
+            forms = [(lead, c, tail) for lead in ("", ",", "(") for c in "az" for tail in ("", "(")]
+            self._usual = {n for n in range(1, 41) if not any(self.stands_out(t, 0, len(t), []) for t in (a + c * n + b for a, c, b in forms))}
+        return self._usual
+
+    def viterbi(self, text: str, tokens: list[tuple[int, int]], before: list[str], inner: tuple[bool, bool] = (False, False)) -> list[tuple[int, int, int]]:
+        """(label, first token, token after the last) of the best segmentation, entities only.
+
+        ``inner``: whether an "other" token comes before and after the tokens.  Features and scores are held for
+        the last tokens only, and two bytes for each token and label."""
+        k, words = len(LABELS), before + _words(text, tokens)
+        best: list = [None]
+        back = np.zeros((len(tokens) + 1, k, 2), np.int8)
+        for j in range(len(tokens)):
+            value = np.full(k, -np.inf)
+            for n, s in self.row(self.ending(text, tokens, words, len(before), j)):
+                prior = best[-n]
                 if prior is None:
-                    total, came = s, np.zeros(len(LABELS), int)
+                    total, came = s + self.moves[0] if inner[0] else s, np.zeros(k, int)
                 else:
                     through = prior[:, None] + self.moves
                     came = through.argmax(axis=0)
                     total = s + through.max(axis=0)
-                for y in np.flatnonzero(total > value):
-                    value[y], choice[y] = total[y], (n, int(came[y]))
-            best.append(value)
-            back.append(choice)
-        out, j, y = [], len(scores), int(best[-1].argmax()) if scores else 0
+                better = total > value
+                value[better] = total[better]
+                back[j + 1, better, 0], back[j + 1, better, 1] = n, came[better]
+            best = [*best[-MOST_TOKENS + 1 :], value]
+        out, j, y = [], len(tokens), int((best[-1] + self.moves[:, 0] * inner[1]).argmax()) if tokens else 0
         while j:
-            n, came = back[j][y]
+            n, came = map(int, back[j, y])
             if y:
                 out.append((y, j - n, j))
             j, y = j - n, came
@@ -261,7 +283,7 @@ class SegmentField:
 
     def fit(self, examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 8, rate: float = 0.3, decay: float = 1e-3, seed: int = 3) -> SegmentField:
         """AdaGrad over small batches of (text, truth by tokens)."""
-        ready = []
+        ready, self._usual = [], None
         for text, truth in examples:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
             ready.append((self.segments(text, tokens, []), truth))
@@ -282,6 +304,10 @@ class SegmentField:
         return self
 
 
+def _words(text: str, tokens: list[tuple[int, int]]) -> list[str]:
+    return [text[a:b].strip(_TRIM).lower() or text[a:b] for a, b in tokens]
+
+
 def _lse(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=0)
     safe = np.where(np.isfinite(top), top, 0.0)
@@ -297,6 +323,7 @@ def written_examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, i
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     letters = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyzéèäöüñ" if r.random() < 0.3 else "etaoinshrdlu") for _ in range(r.randint(a, b)))
+    alphas = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.randint(a, b)))
     octet = lambda: str(r.randint(0, 255))
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
 
@@ -320,7 +347,7 @@ def written_examples(count: int, seed: int) -> list[tuple[str, list[tuple[int, i
         return r.choice([f"+{r.randint(1, 99)} ({a}) {b}-{c}", f"+{r.randint(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{digits(11)}", f"({a}) 555-{c}", f"+1 ({a}) 555-{c}"])
 
     def secret():
-        return f'"{hexes(40)}"' if r.random() < 0.6 else r.choice([hexes(32), hexes(64), f"sk-{hexes(24)}", f'"{hexes(40).upper()}"'])
+        return f'"{hexes(40)}"' if r.random() < 0.6 else r.choice([hexes(32), hexes(64), f"sk-{hexes(24)}", f'"{hexes(40).upper()}"', alphas(24, 40), f'"{alphas(24, 40)}"'])
 
     def number():
         return r.choice(
@@ -385,54 +412,49 @@ def trained(examples: int = 1200, seed: int = 11) -> SegmentField:
 # --- whole texts --------------------------------------------------------------------------------------------------
 
 
-def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
-    """Runs of tokens round digits and @, with up to two tokens after each, and the three words before the run."""
-    tokens: list[tuple[int, int]] = []
-    loose, read = 0, -1
-    m = _TRIGGER.search(text)
-    while m:
-        start = m.start()
-        while start > max(read, 0) and not text[start - 1].isspace():
-            start -= 1
-        if tokens and text[read:start].strip():
-            between = [(read + a, read + b) for a, b in (x.span() for x in _TOKEN.finditer(text[read:start]))] if start - read < 200 else [None] * 9
-            if len(between) <= 2:
-                tokens += between
-            else:
-                yield tokens, _words_before(text, tokens[0][0])
-                tokens = []
-        end = _TOKEN.match(text, start).end()
-        tokens.append((start, end))
-        read = end
-        m = _TRIGGER.search(text, end)
-    if tokens:
-        yield tokens, _words_before(text, tokens[0][0])
-
-
-def _words_before(text: str, start: int) -> list[str]:
-    return [w.strip(_TRIM).lower() or w for w in text[max(0, start - 60) : start].split()[-3:]]
+def stretches(text: str, field: SegmentField) -> Iterator[tuple[list[tuple[int, int]], list[str], tuple[bool, bool]]]:
+    """Tokens that stand out with ``MOST_TOKENS`` tokens on both sides, the three words before, whether text goes on."""
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    usual, first, after, hint = field.usual(), 0, 0, 0
+    for k, (start, end) in enumerate(tokens):
+        token = text[start:end]
+        core = token.strip(_TRIM)
+        if _TRIGGER.search(token):
+            out = True
+        elif not hint and core.isalpha() and min(len(core), 40) in usual:
+            out = False
+        else:
+            out = field.stands_out(text, start, end, _words(text, tokens[max(0, k - 3) : k]))
+        hint = 3 if (core.lower() or token) in _HINT_WORDS else max(hint - 1, 0)
+        if out:
+            low = max(0, k - MOST_TOKENS)
+            if low > after or not after:
+                if after:
+                    yield tokens[first:after], _words(text, tokens[max(0, first - 3) : first]), (first > 0, True)
+                first = low
+            after = min(len(tokens), k + MOST_TOKENS + 1)
+    if after:
+        yield tokens[first:after], _words(text, tokens[max(0, first - 3) : first]), (first > 0, after < len(tokens))
 
 
 def field_spans(text: str, field: SegmentField) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities, without the signs round them."""
     out = []
-    for tokens, before in stretches(text):
-        for at in range(0, len(tokens), 400):  # long tables of numbers; 400 tokens are far more than any entity
-            part = tokens[at : at + 400]
-            for label, a, b in field.viterbi(text, part, before if not at else []):
-                start, end = part[a][0], part[b - 1][1]
-                while end > start and text[end - 1] in _TRIM:
-                    end -= 1
-                while start < end and text[start] in _TRIM and not (label == 4 and text[start] == "("):
-                    start += 1
-                if start < end:
-                    out.append((label - 1, start, end))
+    for tokens, before, inner in stretches(text, field):
+        for label, a, b in field.viterbi(text, tokens, before, inner):
+            start, end = tokens[a][0], tokens[b - 1][1]
+            while end > start and text[end - 1] in _TRIM:
+                end -= 1
+            while start < end and text[start] in _TRIM and not (label == 4 and text[start] == "("):
+                start += 1
+            if start < end:
+                out.append((label - 1, start, end))
     return out
 
 
 def all_spans(text: str | None, field: SegmentField) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans; base spans and those of the field that overlap none of them, in order of kind and place."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return [], []
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)

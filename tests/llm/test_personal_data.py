@@ -116,3 +116,49 @@ def test_the_field_finds_what_no_pattern_finds(field):
     found = {(pd.KINDS[k], text[a:b]) for k, a, b in every}
     assert ("phone", "(555) 123-4567") in found and ("secret", "0a1b2c3d4e" * 4) in found
     assert pd.all_spans("In 1998 about 12 of 300 people paid 4.50 for version v1.2.3 of it.", field)[1] == []
+
+
+def test_held_out_written_examples_in_whole_texts(field):
+    """Through all_spans, each example within a longer text of words."""
+    found = missed = spaced = spaced_found = 0
+    for text, truth in pd.written_examples(300, seed=98):
+        whole = f"{'plain words of prose ' * 9}{text} {'more words of prose ' * 9}"
+        at, tokens = whole.index(text), [m.span() for m in re.finditer(r"\S+", text)]
+        every = pd.all_spans(whole, field)[1]
+        for label, a, b in (t for t in truth if t[0]):
+            start, end = at + tokens[a][0], at + tokens[b - 1][1]
+            hit = any(k == label - 1 and s < end and e > start for k, s, e in every)
+            found, missed = found + hit, missed + (not hit)
+            if label == 1 and b - a == 3:
+                tight = any(k == 0 and s == start and whole[s:e] == whole[start:end].rstrip(pd._TRIM) for k, s, e in every)
+                spaced, spaced_found = spaced + 1, spaced_found + tight
+    assert found / (found + missed) > 0.9 and spaced > 20 and spaced_found / spaced > 0.8, (found, missed, spaced, spaced_found)
+
+
+def test_spans_are_those_of_a_run_over_the_whole_text(field):
+    rng = np.random.default_rng(8)
+    examples = [t for t, _ in pd.written_examples(200, seed=97)]
+    words = "the key of a letter token = and contact host: it (so) mail * - write".split()
+    for _ in range(40):
+        parts = [examples[rng.integers(200)] if rng.random() < 0.15 else words[rng.integers(len(words))] for _ in range(120)]
+        text = " ".join(parts)
+        tokens = [m.span() for m in re.finditer(r"\S+", text)]
+        full = field.viterbi(text, tokens, [])
+        own = []
+        for part, before, inner in pd.stretches(text, field):
+            shift = tokens.index(part[0])
+            own += [(y, a + shift, b + shift) for y, a, b in field.viterbi(text, part, before, inner)]
+        assert own == full
+
+
+def test_a_span_across_the_400th_number_of_a_run(field):
+    for n in range(390, 400):
+        text = " ".join(["12"] * n + ["(555) 123-4567", "and", "bob @ example.com", "7"] + ["12"] * 50)
+        found = {(pd.KINDS[k], text[a:b]) for k, a, b in pd.all_spans(text, field)[1]}
+        assert ("phone", "(555) 123-4567") in found and ("email", "bob @ example.com") in found
+
+
+def test_a_secret_of_letters_only(field):
+    secret = "QwErTyUiOpAsDfGhJkLzXcVbNmQw"
+    text = f"{'plain words of prose ' * 9}token = {secret} and more"
+    assert ("secret", secret) in {(pd.KINDS[k], text[a:b]) for k, a, b in pd.all_spans(text, field)[1]}
