@@ -4,7 +4,9 @@ A line goes down a tree of fixed depth: by its number of tokens, then by its lea
 digit counts as a variable.  At a leaf, a token is constant at its position if at least ``min_docs`` (document, line)
 pairs of the leaf have it there; every other position is a variable field, and the constants with their positions
 are the line's template.  A template that is constant in at least ``constant_pct`` % of its positions and stands in
-at least ``min_docs`` documents recurs, and all its lines are dropped.  Lines that differ only in names, numbers or
+at least ``min_docs`` documents recurs, and all its lines are dropped.  With ``long_tokens``, two copies are enough
+for long lines: the same is done with ``long_docs`` in the place of ``min_docs``, and templates of at least
+``long_tokens`` constants recur too.  Lines that differ only in names, numbers or
 dates thus fall together, while lines that merely start alike do not.
 
 Rows are narrow keys until a leaf is known to recur; equal lines are counted once; counts are taken before any join.
@@ -47,8 +49,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 10, constant_pct: int = 60
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 10, constant_pct: int = 60,
+    long_tokens: int | None = None, long_docs: int = 2,
+) -> DataFrame:
     """id, t, at of every line whose template recurs."""
     keys = [F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")]
     lead = [F.when(F.col("n") > i, _masked(F.col("words")[i])) for i in range(depth)]
@@ -57,9 +60,19 @@ def recurring_lines(
         .withColumn("words", tokens(F.col("line")))
         .withColumn("n", F.size("words"))
         .where("n > 0")
-        .select("id", "t", "at", F.xxhash64("n", *lead).alias("leaf"), *keys),
+        .select("id", "t", "at", "n", F.xxhash64("n", *lead).alias("leaf"), *keys),
         "template-lines",
     )
+    recurring = _recurring(docs, lines, id_col, text_col, min_docs, constant_pct, 0)
+    if long_tokens is not None:
+        long = lines.where(F.col("n") >= long_tokens)
+        recurring = recurring.union(_recurring(docs, long, id_col, text_col, long_docs, constant_pct, long_tokens)).distinct()
+    return lines.join(small(recurring), ["leaf", "k1", "k2"], "left_semi").select("id", "t", "at")
+
+
+def _recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, constant_pct: int, least: int) -> DataFrame:
+    """leaf, k1, k2 of the lines whose template of at least ``least`` constants stands in ``min_docs`` documents."""
+    keys = [F.xxhash64("line").alias("k1"), F.hash("line").alias("k2")]
     pairs = lines.select("id", "t", "leaf", "k1", "k2").distinct()
     distinct = pairs.groupBy("leaf", "k1", "k2").agg(F.count(F.lit(1)).alias("docs"))
     leaves = distinct.groupBy("leaf").agg(F.sum("docs").alias("_all")).where(F.col("_all") >= min_docs).select("leaf")
@@ -93,7 +106,7 @@ def recurring_lines(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.when(F.col("constant"), F.xxhash64("place", "token").bitwiseAND(F.lit(2**62 - 1)).cast("decimal(38,0)"))).alias("shape"),
         )
-        .where(F.col("fixed") * 100 >= F.col("n") * constant_pct)
+        .where((F.col("fixed") * 100 >= F.col("n") * constant_pct) & (F.col("fixed") >= least))
         .select("leaf", "k1", "k2", "fixed", "shape")
     )
     templates = spool(templates, "templates")
@@ -107,8 +120,7 @@ def recurring_lines(
         .where(F.col("_docs") >= min_docs)
         .select(*template)
     )
-    recurring = spool(templates.join(spread, template, "left_semi").select("leaf", "k1", "k2"), "templates-recurring")
-    return lines.join(small(recurring), ["leaf", "k1", "k2"], "left_semi").select("id", "t", "at")
+    return spool(templates.join(spread, template, "left_semi").select("leaf", "k1", "k2"), "templates-recurring")
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -140,6 +152,14 @@ def op2_line_templates(spark, sf_dir: str) -> DataFrame:
     return without_recurring_lines(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+#: Lines with so many constant tokens do not recur by chance; two documents that share one are enough.
+LONG_TOKENS = 20
+
+
+def op2_long_line_templates(spark, sf_dir: str) -> DataFrame:
+    return without_recurring_lines(documents(spark, sf_dir), long_tokens=LONG_TOKENS).withColumnRenamed("id", "doc_id")
+
+
 OP2_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos

@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_line_templates": line_templates.op2_line_templates,
+        "op2_long_line_templates": line_templates.op2_long_line_templates,
         "op3_mixing": mixing.op3_mixing,
         "op4_line_quality": line_quality.op4_line_quality,
         "op5_packing": packing.op5_packing,
