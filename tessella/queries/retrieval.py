@@ -186,6 +186,15 @@ def ret_chunks(spark, sf_dir):
     return whole.select("parent_id", F.md5("text").alias("text"))
 
 
+@query("ret_chunks_all")
+def ret_chunks_all(spark, sf_dir):
+    """Every document cut into chunks and put together again; tested against a plain loop."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = chunks.reassembled(chunks.chunked(docs))
+    every = docs.select(F.col("doc_id").cast("string").alias("_id")).distinct().join(whole, F.col("_id").eqNullSafe(F.col("parent_id")), "left")
+    return every.select(F.col("_id").alias("parent_id"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 @query("ret_conversation_context", "SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS context FROM conversations")
 def ret_conversation_context(spark, sf_dir):
     """Each turn with its neighbours, turns standing for the chunks of a conversation."""
