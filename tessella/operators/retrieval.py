@@ -8,8 +8,11 @@ every query is taken by a window whose groups are the queries' own candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from tessella.functions import vector as vx
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query side of a join: broadcast up to so many rows, shuffled beyond.
 BROADCAST_ROWS = 200_000
+#: Vectors of one block, on either side of a matrix product.
+BLOCK = 1024
 
 # Mode by number of query tokens, fusion weights, intent penalties, tail cut.
 SHORT_TOKENS, MIDDLE_TOKENS = 2, 8
@@ -146,6 +151,60 @@ def vector_scores(vectors: DataFrame, queries: list[tuple[str, list[float]]], me
     return vectors.select("doc_id", F.explode(each).alias("x")).select("x.qid", "doc_id", "x.score")
 
 
+def vector_blocks(vectors: DataFrame, key: str) -> DataFrame:
+    """Up to ``BLOCK`` vectors a row: keys, and the values (64-bit) of all as bytes; rows without a vector are left out."""
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                values = np.array(part.column(1).to_pylist(), np.float64)
+                keys = pa.array([part.column(0).to_pylist()], pa.list_(part.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([values.tobytes()], pa.binary())], names=["keys", "vectors"])
+
+    return vectors.where(F.col("embedding").isNotNull()).select(key, "embedding").mapInArrow(pack, f"keys array<{kind}>, vectors binary")
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
+    """qid, doc_id, score, rank of the k best vectors (doc_id, embedding) for every query vector (qid, embedding).
+
+    Both sides are tables of blocks and every two blocks meet in one matrix product; each task keeps the k best, so at
+    most k rows for a query and a task are shuffled.  The product picks candidates, scores are by exact differences.
+    """
+    if metric not in ("l2sq", "cosine"):
+        raise ValueError(f"metric {metric} is not l2sq or cosine")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # the k best so far of the queries of this task
+        for batch in batches:
+            for row in batch.to_pylist():
+                a = np.frombuffer(row["asked"]).reshape(len(row["qids"]), -1)
+                b = np.frombuffer(row["vectors"]).reshape(len(row["keys"]), -1)
+                na, nb, near = (a * a).sum(axis=1), (b * b).sum(axis=1), a @ b.T
+                if metric == "l2sq":
+                    near = 1 - (na[:, None] + nb[None, :] - 2 * near)
+                else:
+                    size = np.sqrt(na)[:, None] * np.sqrt(nb)[None, :]
+                    near = np.divide(near, size, out=np.zeros_like(near), where=size != 0)
+                slack = 1e-9 * (1 + na + nb.max())
+                least = np.partition(near, -min(k, len(b)), axis=1)[:, -min(k, len(b))] - slack
+                for i, q in enumerate(row["qids"]):
+                    at = np.flatnonzero(near[i] >= least[i])
+                    score = 1 - ((b[at] - a[i]) ** 2).sum(axis=1) if metric == "l2sq" else (b[at] * a[i]).sum(axis=1) / np.where(size[i, at] == 0, 1.0, size[i, at])
+                    held[q] = sorted([*held.get(q, ()), *zip((-score).tolist(), (row["keys"][x] for x in at))])[:k]
+        for q, top in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(top), qtype), pa.array([d for _, d in top], dtype), pa.array([-s for s, _ in top], pa.float64())], names=["qid", "doc_id", "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    qid, doc = queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType
+    qtype, dtype = to_arrow_type(qid), to_arrow_type(doc)
+    asked = vector_blocks(queries, "qid").select(F.col("keys").alias("qids"), F.col("vectors").alias("asked"))
+    pairs = vector_blocks(vectors, "doc_id").crossJoin(asked)
+    return top_k(pairs.mapInArrow(best, f"qid {qid.simpleString()}, doc_id {doc.simpleString()}, score double"), k)
+
+
 def best_of_variants(scored: DataFrame) -> DataFrame:
     """The best score of each (qid, doc_id) over several forms of a query."""
     return scored.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))

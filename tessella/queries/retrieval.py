@@ -103,6 +103,27 @@ def ret_vector_cosine(spark, sf_dir):
     return vectors(spark, sf_dir, "cosine")
 
 
+#: The query set that grows with the table: every twentieth vector.
+VEC_ALL_SQL = VEC_SQL.replace("a.vec_id IN (0, 1, 2, 3, 4)", "a.vec_id % 20 = 0")
+
+
+def all_vectors(spark, sf_dir, metric):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    found = rt.vector_top_k(v.select(F.col("vec_id").alias("doc_id"), "embedding"), asked, 8, metric)
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("ret_vector_all_topk", f"WITH {VEC_ALL_SQL.format(score=L2)} {top('v', 8)}")
+def ret_vector_all_topk(spark, sf_dir):
+    return all_vectors(spark, sf_dir, "l2sq")
+
+
+@query("ret_vector_all_cosine", f"WITH {VEC_ALL_SQL.format(score=COS)} {top('v', 8)}")
+def ret_vector_all_cosine(spark, sf_dir):
+    return all_vectors(spark, sf_dir, "cosine")
+
+
 @query("ret_label_centroids", "SELECT label, CAST(i AS INTEGER) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2")
 def ret_label_centroids(spark, sf_dir):
     """Mean-pooled vectors, each label's embeddings standing for the chunks of one document."""

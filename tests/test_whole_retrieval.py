@@ -3,7 +3,9 @@
 import hashlib
 
 import pyarrow.parquet as pq
+import pytest
 
+from tessella.operators import retrieval as rt
 from tessella.queries import registry
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,21 @@ def test_every_document_comes_back(spark, tmp_path):
     got = {r["parent_id"]: (r["n_chunks"], r["text"]) for r in registry.queries()["ret_chunks_all"](spark, str(tmp_path)).collect()}
     want = {str(i): (len(p := plain_chunks(t)), hashlib.md5("\n".join(p).encode()).hexdigest()) for i, t in rows}
     assert got == want and max(n for n, _ in got.values()) > 5
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_blocks_of_queries_agree_with_single_scores(spark, metric, monkeypatch):
+    monkeypatch.setattr(rt, "BLOCK", 7)
+    rows = [(i, [float((i * j * 37 + i) % 11 - 5) for j in range(1, 5)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    asked = [(str(i), e) for i, e in rows if i % 3 == 0 and e is not None]
+    want = {(r["qid"], r["rank"]): (r["doc_id"], round(r["score"], 9)) for r in rt.top_k(rt.vector_scores(v.where("doc_id < 61"), asked, metric).withColumn("score", __import__("pyspark").sql.functions.round("score", 9)), 5).collect()}
+    found = rt.vector_top_k(v, spark.createDataFrame(asked, "qid string, embedding array<double>"), 5, metric).collect()
+    assert {(r["qid"], r["rank"]): round(r["score"], 9) for r in found} == {x: s for x, (_, s) in want.items()}
+    assert len(found) == 5 * len(asked)
+
+
+def test_the_query_set_is_every_twentieth_vector(spark):
+    ids = pq.read_table(f"{SF}/embeddings.parquet")["vec_id"].to_pylist()
+    asked = {r["qid"] for r in registry.queries()["ret_vector_all_topk"](spark, SF).collect()}
+    assert asked == {str(i) for i in ids if i % 20 == 0}
