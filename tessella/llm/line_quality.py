@@ -6,12 +6,16 @@ most probable labels of a whole text at once, and the share of its words that st
 the document stays.
 
 Training is by maximum likelihood in numpy on a sample of at most ``TRAIN_DOCS`` labelled documents, the first by a
-hash of the identifier: every line of a document carries the document's quality label, so the field learns which
-lines are typical of bad documents; lines that occur in both kinds get weights near zero.  Without labels nothing is
-boilerplate.
-
-Defined cases: a null or empty text has no words and fails the base rules; repeated rows and identifiers are judged
-row by row; extra columns are carried by ``with_quality``; an empty table gives no rows.
+hash of the identifier, that have ``TRAIN_LINES`` lines together at most (a document enters whole or not at all).  A
+document's label says only on which side its content share lies, so the labels of its lines are latent.  They start
+as the document's label, seen by single lines without neighbours; then the field's posterior relabels every line, as
+far as the document's own label allows, and the field with its moves is fitted anew, a few times.  So a good document
+may hold boilerplate lines and a bad one content lines, and the moves are learned from both.  Without labels nothing
+is boilerplate.
+
+Defined cases: a null or empty text has no words and fails the base rules; a text of any length is labelled line by
+line to its end; ties between labels go to content; repeated rows and identifiers are judged row by row; extra columns
+are carried by ``kept_documents``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import documents
+from tessella.llm.shared import documents, spool
 
-#: Most documents in the training sample, and most lines taken from each.
-TRAIN_DOCS, TRAIN_LINES = 3000, 200
+#: Most documents in the training sample, and most lines that they have together.
+TRAIN_DOCS, TRAIN_LINES = 3000, 200_000
 #: Documents with less than this share of their words in content lines are rejected.
 CONTENT_SHARE = 0.5
 MIN_WORDS, REPEAT_PCT = 50, 50
@@ -117,6 +121,12 @@ def measured(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarr
     return base, np.array(features, dtype=np.int8).reshape(-1, FEATURES), np.array(counts, dtype=np.int64)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix products of many 2 x 2 matrices (last axis), each scaled to a largest entry of 1."""
+    c = a[:, 0, None] * b[None, 0] + a[:, 1, None] * b[None, 1]
+    return c / c.max(axis=(0, 1))
+
+
 class LineField:
     """A linear-chain conditional random field over labels 0 (content) and 1 (boilerplate)."""
 
@@ -146,81 +156,127 @@ class LineField:
             labels.append(label)
         return np.array(labels[::-1] if gain else [], dtype=np.int8)
 
-    def fit(self, texts: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> LineField:
-        """Adam on the mean log-likelihood of (features, labels); texts of all lengths move step by step together."""
-        texts = sorted((t for t in texts if len(t[0])), key=lambda t: -len(t[0]))
-        if not texts:
+    def posteriors(self, e: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of lines of many texts in a row (``starts``: first lines): P(label), and P(label before, label), by line.
+
+        Forward and backward messages are products of 2 x 2 matrices, taken for all lines at once by doubling; a first
+        line's matrix has equal rows, so nothing passes from one text to the next.
+        """
+        n = len(e)
+        own = np.exp(e - e.max(axis=1, keepdims=True)).T
+        step = np.exp(self.moves)[:, :, None] * own
+        ends = np.append(starts[1:], True)
+        ahead, back = np.where(starts, own, step), np.ones((2, 2, n))
+        back[:, :, :-1] = np.where(ends[:-1], 1.0, step[:, :, 1:])
+        d = 1
+        while d < longest:
+            ahead[:, :, d:] = _products(ahead[:, :, :-d], ahead[:, :, d:])
+            back[:, :, :-d] = _products(back[:, :, :-d], back[:, :, d:])
+            d *= 2
+        alpha, beta = ahead[0], back[:, 0]
+        one = alpha * beta
+        two = np.zeros((2, 2, n))
+        two[:, :, 1:] = alpha[:, None, :-1] * step[:, :, 1:] * beta[None, :, 1:] * ~starts[1:]
+        return (one / one.sum(axis=0)).T, (two / np.maximum(two.sum(axis=(0, 1)), 1e-300)).transpose(2, 0, 1)
+
+    def fit(self, features: np.ndarray, labels: np.ndarray, starts: np.ndarray, chained: bool = True, rounds: int = 80, rate: float = 0.15, decay: float = 1e-3) -> LineField:
+        """Adam on the mean log-likelihood of the labels of lines in a row; without ``chained`` the moves stay."""
+        n = len(features)
+        if not n:
             return self
-        n, longest = len(texts), len(texts[0][0])
-        alive = np.array([sum(len(f) > t for f, _ in texts) for t in range(longest)])
-        x = [np.stack([f[t] for f, _ in texts[: alive[t]]]) for t in range(longest)]
-        y = [np.array([g[t] for _, g in texts[: alive[t]]]) for t in range(longest)]
-        columns = np.arange(FEATURES)
-        size, total = self.weights.size, sum(alive)
+        longest = int(np.diff(np.append(np.flatnonzero(starts), n)).max())
+        size = self.weights.size
         theta = np.concatenate((self.weights.ravel(), self.moves.ravel()))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
+        true = np.zeros((2, 2))
+        inner = np.flatnonzero(~starts)
+        np.add.at(true, (labels[inner - 1], labels[inner]), 1)
         for step in range(1, rounds + 1):
             self.weights, self.moves = theta[:size].reshape(self.weights.shape), theta[size:].reshape(2, 2)
-            e = [self.emissions(f) for f in x]
-            alpha = [e[0]]
-            for t in range(1, longest):
-                prior = alpha[t - 1][: alive[t], :, None] + self.moves
-                alpha.append(np.logaddexp(prior[:, 0], prior[:, 1]) + e[t])
-            beta = [np.zeros((k, 2)) for k in alive]
-            for t in range(longest - 2, -1, -1):
-                k = alive[t + 1]
-                after = self.moves + (e[t + 1] + beta[t + 1])[:, None, :]
-                beta[t][:k] = np.logaddexp(after[:, :, 0], after[:, :, 1])
-            norm = np.logaddexp(*(alpha[0] + beta[0]).T)
-            w_grad, m_grad = np.zeros_like(self.weights), np.zeros_like(self.moves)
-            for t in range(longest):
-                k = alive[t]
-                p = np.exp(alpha[t] + beta[t] - norm[:k, None])
-                p[np.arange(k), y[t]] -= 1
-                for f in columns:
-                    for label in (0, 1):
-                        w_grad[f, :, label] += np.bincount(x[t][:, f], weights=p[:, label], minlength=BINS)
-                if t:
-                    both = alpha[t - 1][:k, :, None] + self.moves + (e[t] + beta[t])[:, None, :] - norm[:k, None, None]
-                    m_grad += np.exp(both).sum(axis=0)
-                    np.add.at(m_grad, (y[t - 1][:k], y[t]), -1)
-            grad = np.concatenate((w_grad.ravel(), m_grad.ravel())) / total + decay * theta
+            one, two = self.posteriors(self.emissions(features), starts, longest if chained else 1)
+            one[np.arange(n), labels] -= 1
+            w_grad = np.empty_like(self.weights)
+            for f in range(FEATURES):
+                for label in (0, 1):
+                    w_grad[f, :, label] = np.bincount(features[:, f], weights=one[:, label], minlength=BINS)
+            m_grad = (two.sum(axis=0) - true) * chained
+            grad = np.concatenate((w_grad.ravel(), m_grad.ravel())) / n + decay * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.moves = theta[:size].reshape(self.weights.shape), theta[size:].reshape(2, 2)
         return self
 
+    def fit_documents(self, texts: list[tuple[np.ndarray, np.ndarray, int]], relabelled: int = 3) -> LineField:
+        """Fit on (features, words of each line, quality) of whole documents; the lines' labels are latent."""
+        texts = [t for t in texts if len(t[0])]
+        if not texts or len({t[2] for t in texts}) < 2:
+            return self
+        features = np.concatenate([t[0] for t in texts])
+        sizes = np.array([len(t[0]) for t in texts])
+        first = np.cumsum(sizes) - sizes
+        starts = np.zeros(len(features), dtype=bool)
+        starts[first] = True
+        labels = np.repeat([1 - t[2] for t in texts], sizes)
+        self.fit(features, labels, starts, chained=False)
+        for _ in range(relabelled):
+            boiler = self.posteriors(self.emissions(features), starts, int(sizes.max()))[0][:, 1]
+            labels = np.concatenate([allowed_labels(boiler[a : a + k], words, quality) for a, k, (_, words, quality) in zip(first, sizes, texts)])
+            self.fit(features, labels, starts)
+        return self
+
+
+def allowed_labels(boiler: np.ndarray, words: np.ndarray, quality: int) -> np.ndarray:
+    """Labels by posterior; the most doubtful ones turn until the content share lies on the side of ``quality``."""
+    labels = (boiler > 0.5).astype(np.int64)
+    content, half = int(words[labels == 0].sum()), CONTENT_SHARE * int(words.sum())
+    for i in np.argsort(boiler if quality else -boiler, kind="stable"):
+        if (content >= half) == bool(quality):
+            break
+        if labels[i] == quality:
+            labels[i] = 1 - quality
+            content += int(words[i]) if quality else -int(words[i])
+    return labels
+
 
 def _sampled_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = [measured(t.as_py())[1][:TRAIN_LINES].tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(lines, pa.binary())], names=["quality", "lines"])
+        rows = [measured(t.as_py())[1:] for t in batch.column("text")]
+        lines = [f.tobytes() for f, _ in rows], [w.astype(np.int32).tobytes() for _, w in rows]
+        n = pa.array([len(f) for f, _ in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("quality"), n, *(pa.array(x, pa.binary()) for x in lines)], names=["place", "quality", "n", "lines", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text") -> LineField:
     """Fit on at most ``TRAIN_DOCS`` labelled rows of ``docs``; only their binned lines come to the driver."""
     if labels is None:
         return LineField()
+    place = F.xxhash64("_id")
     picked = (
         labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
         .where("_id is not null and quality in (0, 1)")
-        .orderBy(F.xxhash64("_id"), "_id")
+        .orderBy(place, "_id")
         .limit(TRAIN_DOCS)
+        .withColumn("place", place)
     )
-    sample = (
+    sample = spool(
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-        .join(F.broadcast(picked), "_id")
-        .select("quality", "text")
-        .mapInArrow(_sampled_lines, "quality int, lines binary")
-        .collect()
+        .join(F.broadcast(picked), "_id")  # at most TRAIN_DOCS rows
+        .select("place", "quality", "text")
+        .mapInArrow(_sampled_lines, "place bigint, quality int, n bigint, lines binary, words binary"),
+        "quality-sample",
     )
+    sizes = sorted((r["place"], r["n"]) for r in sample.groupBy("place").agg(F.sum("n").alias("n")).collect())
+    total, taken = 0, []
+    for place, n in sizes:
+        if total + n <= TRAIN_LINES:
+            total += n
+            taken.append(place)
     texts = []
-    for quality, lines in sample:
-        features = np.frombuffer(bytes(lines), dtype=np.int8).reshape(-1, FEATURES).astype(np.int64)
-        texts.append((features, np.full(len(features), 1 - quality, dtype=np.int64)))
-    texts.sort(key=lambda t: (t[0].tobytes(), t[1].tobytes()))
-    good, bad = sum(not y[0] for _, y in texts if len(y)), sum(y[0] for _, y in texts if len(y))
-    return LineField().fit(texts) if good and bad else LineField()
+    for r in sample.where(F.col("place").isin(taken)).collect():
+        features = np.frombuffer(bytes(r["lines"]), dtype=np.int8).reshape(-1, FEATURES).astype(np.int64)
+        texts.append((features, np.frombuffer(bytes(r["words"]), dtype=np.int32), r["quality"]))
+    texts.sort(key=lambda t: (t[0].tobytes(), t[1].tobytes(), t[2]))
+    return LineField().fit_documents(texts)
 
 
 def judged(text: str | None, field: LineField) -> tuple[int, int, int, int, int, bool, float, bool]:

@@ -72,14 +72,59 @@ def test_viterbi_is_the_best_of_all_labellings():
         assert abs(score(field.viterbi(features)) - max(map(score, itertools.product((0, 1), repeat=n)))) < 1e-9
 
 
-def test_training_separates_kinds_of_lines():
-    good = lq.measured("\n".join(f"A plain sentence number {w} that says something in calm words." for w in string.ascii_lowercase))[1]
-    bad = lq.measured("\n".join("BUY NOW !!! $$$ 99 % | | | <<<" for _ in range(20)))[1]
-    rows = [(x.astype(np.int64), np.full(len(x), y)) for x, y in ((good, 0), (bad, 1))] * 5
-    field = lq.LineField().fit(rows)
-    assert not field.viterbi(good.astype(np.int64)).any() and field.viterbi(bad.astype(np.int64)).all()
-    mixed = np.vstack((good[:10], bad[:10])).astype(np.int64)
-    assert field.viterbi(mixed).tolist() == [0] * 10 + [1] * 10
+def test_posteriors_are_the_shares_of_all_labellings():
+    rng = np.random.default_rng(9)
+    field = lq.LineField(rng.normal(size=(lq.FEATURES, lq.BINS, 2)), rng.normal(size=(2, 2)))
+    sizes = [1, 5, 3, 7, 2]
+    features = rng.integers(0, lq.BINS, (sum(sizes), lq.FEATURES))
+    starts = np.zeros(len(features), dtype=bool)
+    starts[np.cumsum([0, *sizes[:-1]])] = True
+    one, two = field.posteriors(field.emissions(features), starts, max(sizes))
+    at = 0
+    for n in sizes:
+        e = field.emissions(features[at : at + n])
+        each = {y: np.exp(sum(e[i, y[i]] for i in range(n)) + sum(field.moves[y[i - 1], y[i]] for i in range(1, n))) for y in itertools.product((0, 1), repeat=n)}
+        total = sum(each.values())
+        for i in range(n):
+            assert abs(one[at + i, 1] - sum(v for y, v in each.items() if y[i]) / total) < 1e-9
+            if i:
+                assert abs(two[at + i, 1, 0] - sum(v for y, v in each.items() if y[i - 1] and not y[i]) / total) < 1e-9
+        at += n
+
+
+def test_relabelling_keeps_to_the_documents_side():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 12))
+        boiler, words = rng.random(n), rng.integers(1, 30, n)
+        for quality in (0, 1):
+            labels = lq.allowed_labels(boiler, words, quality)
+            assert (words[labels == 0].sum() >= lq.CONTENT_SHARE * words.sum()) == bool(quality)
+
+
+def lines_of(text, quality):
+    _, features, words = lq.measured(text)
+    return features.astype(np.int64), words, quality
+
+
+def test_labels_of_lines_vary_within_a_text():
+    prose = [f"A plain sentence number {w} that says something in calm words." for w in string.ascii_lowercase]
+    junk = [f"BUY NOW {w.upper()} !!! $$$ 99 % | | | <<<" for w in string.ascii_lowercase]
+    texts = [lines_of("\n".join(prose[i : i + 12]), 1) for i in range(10)] + [lines_of("\n".join(prose[i : i + 9] + junk[:2]), 1) for i in range(10)]
+    texts += [lines_of("\n".join(junk[i : i + 12]), 0) for i in range(10)] + [lines_of("\n".join(prose[:2] + junk[i : i + 9]), 0) for i in range(10)]
+    field = lq.LineField().fit_documents(texts)
+    good = lines_of("\n".join(prose[12:24] + junk[20:24]), 1)[0]
+    assert field.viterbi(good).tolist() == [0] * 12 + [1] * 4
+    bad = lines_of("\n".join(junk[12:24] + prose[:4]), 0)[0]
+    assert field.viterbi(bad).tolist() == [1] * 12 + [0] * 4
+
+
+def test_lines_of_the_table_get_both_labels_within_texts(spark):
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    rows = lq.figures(docs, lq.train(docs, spark.read.parquet(f"{path}/labels.parquet"))).collect()
+    mixed = sum(0 < r["content_share"] < 1 for r in rows)
+    assert mixed >= 0.02 * len(rows), mixed
 
 
 def test_verdict_agrees_with_labels_that_training_never_saw(spark):
