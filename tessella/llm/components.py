@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import spool
+from tessella.llm.shared import discard, shared_folder, spool
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,10 +13,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round moves every node's larger neighbours, then the smaller ones, to its smallest neighbour; in the end
     each component is a star round its smallest node.  A round is written to the shared folder before the next reads
-    it, so that neither lineage nor plans grow.  Loops and repeated edges are allowed; no edges give no rows.
+    it, so that neither lineage nor plans grow, and removed after that.  Loops and repeated edges are allowed; no edges
+    give no rows.
     """
+    spark = edges.sparkSession
+    path = shared_folder(spark, "cc")
     stars = spool(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "cc"
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "cc", path
     )
     state = _state(stars)
     while state[0]:
@@ -31,7 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        stars = spool(small, "cc")
+        before, path = path, shared_folder(spark, "cc")
+        stars = spool(small, "cc", path)
+        discard(spark, before)
         last, state = state, _state(stars)
         if last == state:
             break

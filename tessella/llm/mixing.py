@@ -1,18 +1,20 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source every document is expected ``target / source size`` times.  Along a fixed order of the documents the
-expected copies are summed, one random offset is added to the sums, and a document is emitted once per integer
-boundary that its stretch of the sum crosses.  The order has 16 hashed buckets, by size within each, so that
-neighbours mostly have nearly equal sizes.  Of 32 evenly spaced offsets from a random start, a source gets the one
-whose words come nearest to its target, which matters where a few large documents hold most of a source.
-
-A document's place is located by the counts of the (source, bucket, size bin) cells before it, so a source that holds
-a third of all rows is ranked in many tasks; the table of counts has at most sources x 16 x bins rows at any input
-size.
-
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; sources without words
-have target 0; repeated rows are drawn one by one; extra columns are kept by ``mixed_documents``; an empty table
-gives no rows.
+The documents of a source stand in order of size, largest first.  Their expected copies are summed in that order, one
+random offset is added to the sums, and a document is emitted once for each integer boundary that its stretch of the
+sum crosses.  A document's expected copies are what its source still needs over what is left of it, in words, at the
+start of its size class: documents of more than 1/4, 1/16, 1/64 and 1/256 of the target, and the rest.  That is
+target / source size on average, and what chance gives too much or too little of the largest documents, the smaller
+ones make up for, so the words taken come near the target at the first and only offset.
+
+A document's place is located by the counts of the (source, size, bucket) cells before it, so a source that holds a
+third of all rows is ranked in many tasks; the number of hashed buckets follows the number of rows, so no cell grows
+with the input.
+
+Defined cases: a null text has size 0; a text of any length counts whole; a null source is a source of its own, last
+in order; sources without words have target 0; documents of one size stand in order of their ids (null first), which
+decides ties; repeated rows are drawn one by one; extra columns are kept by ``mixed_documents``; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import documents, spool
+from tessella.llm.shared import documents, small, spool, stored_rows
 
-OFFSETS = 32
-WORD = r"[^\x20\x09-\x0D]+"
+#: Size classes begin at the documents of more than 1 / so much of their source's target.
+CLASSES = (4, 16, 64, 256)
+#: Rows to each hashed bucket of all cells together.
+BUCKET_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,19 +38,12 @@ def word_count(text: Column) -> Column:
     ).cast("bigint")
 
 
-def size_bin(size: Column) -> Column:
-    """Eight bins to each doubling; exact integers, so that any engine gives the same bin."""
-    bits = F.length(F.bin(size))
-    fine = bits * 8 + F.call_function("shiftright", size, bits - 4).cast("int").bitwiseAND(F.lit(7))
-    return F.when(size < 8, size.cast("int")).otherwise(fine).cast("int")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3) -> DataFrame:
     """source, source_size -> target: ``share`` of all words by weight, at most ``cap`` times a source's size.
 
     Filling by weight with the excess reshared until nothing is above its cap means target = min(weight * level, cap *
     size) for one common level.  Sources ordered by cap / weight are full up to some point; the level is what is left
-    over the weights that are left.  One row per source: small, whatever the documents' number.
+    over the weights that are left.  One row per source, ranked in one task: their number is small beside the documents'.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     kinds = F.array(*[F.lit(w) for w in weights])
@@ -72,71 +69,87 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     return x.select("source", "source_size", target.alias("target"))
 
 
-def systematic_copies(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """``docs`` (with ``source`` and ``size``) and source_size, target and ``copies``, by systematic sampling."""
-    bucket = F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed))), 1, 1)
-    x = docs.withColumn("_bin", size_bin(F.col("size"))).withColumn("_bucket", bucket)
-    cells = x.groupBy("source", "_bin", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("source").orderBy("_bucket", "_bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.col("_bucket").alias("_k"), "_start", "source_size", "target")
-    )
-    within = Window.partitionBy("source", "_bin", "_bucket").orderBy("size", id_col)
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")) & (F.col("_bucket") == F.col("_k"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("source"), F.lit("")), F.lit(":" + seed))), 1, 8)
-    begin = F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(2**32))
-
-    def crossed(u: Column) -> Column:
-        before, after = F.col("_rate") * (F.col("_rank") - 1) + u, F.col("_rate") * F.col("_rank") + u
-        return (F.floor(after) - F.floor(before)).cast("int")
-
-    ranked = spool(
-        x.withColumn("_rank", F.row_number().over(within))
+def ranked_rows(sized: DataFrame, targets: DataFrame, id_col: str) -> DataFrame:
+    """``sized`` (with ``source`` and ``size``) and source_size, target, ``_class`` and ``_rank`` in it, from 1."""
+    buckets = -(-sized.count() // BUCKET_ROWS) or 1
+    x = sized.join(small(targets.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    within = sum(((F.col("size") * c <= F.col("target")).cast("int") for c in CLASSES[1:]), (F.col("size") * CLASSES[0] <= F.col("target")).cast("int"))
+    x = x.withColumn("_class", within).withColumn("_bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)))
+    cells = x.groupBy("source", "_class", "size", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source", "_class").orderBy(F.desc("size"), "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    starts = starts.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_bucket").alias("_b"), "_start")
+    place = Window.partitionBy("source", "size", "_bucket").orderBy(id_col)
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_bucket") == F.col("_b"))
+    return (
+        x.withColumn("_rank", F.row_number().over(place))
         .join(starts, same)
         .withColumn("_rank", F.col("_start") + F.col("_rank"))
-        .withColumn("_rate", rate)
-        .drop("_bin", "_bucket", "_s", "_b", "_k", "_start"),
-        "mix-ranks",
-    )
-    offsets = [F.when(begin + k / OFFSETS < 1, begin + k / OFFSETS).otherwise(begin + k / OFFSETS - 1) for k in range(OFFSETS)]
-    taken = [F.sum(F.col("size") * crossed(u)) for u in offsets]
-    misses = ranked.groupBy("source").agg(
-        F.array_min(
-            F.array(*[F.struct(F.abs(t - F.max("target")).alias("miss"), F.lit(k).alias("k")) for k, t in enumerate(taken)])
-        )["k"].alias("_pick")
-    )
-    chosen = misses.select(F.col("source").alias("_s"), F.element_at(F.array(*offsets), F.col("_pick") + 1).alias("_u"))
-    return (
-        ranked.join(chosen, F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", crossed(F.col("_u")))
-        .drop("_s", "_u", "_rate", "_rank")
+        .drop("_s", "_z", "_b", "_bucket", "_start")
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, source, size, source_size, target and copies of every document."""
-    sized = docs.select(F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+def crossed(begin: Column, rate: Column, rank: Column) -> Column:
+    """Integer boundaries in the stretch of one document; ``begin``: the sum before the first one of its class."""
+    return (F.floor(begin + rate * rank) - F.floor(begin + rate * (rank - 1))).cast("int")
+
+
+def systematic_copies(sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """``sized`` (with ``source`` and ``size``) and source_size, target and ``copies``, by systematic sampling."""
+    ranked = spool(ranked_rows(sized, targets, id_col), "mix-ranks")
+    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("source"), F.lit("")), F.lit(":" + seed))), 1, 8)
+    offset = F.conv(digits, 16, 10).cast("bigint").cast("double") / F.lit(float(2**32))
+    zero = F.lit(0).cast("bigint")
+    state = targets.select(F.col("source").alias("_s"), "target", offset.alias("_begin"), zero.alias("_taken"), F.col("source_size").alias("_left"))
+    rates = None
+    for k in range(len(CLASSES) + 1):
+        rate = F.least(F.greatest((F.col("target") - F.col("_taken")) / F.col("_left"), F.lit(0.0)), F.lit(3.0))
+        state = spool(state.withColumn("_rate", F.when(F.col("_left") > 0, rate).otherwise(F.lit(0.0))), "mix-state")
+        own = state.select("_s", F.lit(k).alias("_k"), "_begin", "_rate")
+        rates = own if rates is None else rates.unionByName(own)
+        taken = (
+            ranked.where(F.col("_class") == k)
+            .join(small(state.select("_s", "_begin", "_rate")), F.col("source").eqNullSafe(F.col("_s")))
+            .groupBy(F.col("source").alias("_t"))
+            .agg(
+                F.sum(F.col("size") * crossed(F.col("_begin"), F.col("_rate"), F.col("_rank"))).alias("_more"),
+                F.sum("size").alias("_words"),
+                F.count(F.lit(1)).alias("_n"),
+            )
+        )
+        after = F.col("_begin") + F.col("_rate") * F.coalesce("_n", zero)
+        state = state.join(taken, F.col("_s").eqNullSafe(F.col("_t")), "left").select(
+            "_s",
+            "target",
+            (after - F.floor(after)).alias("_begin"),
+            (F.col("_taken") + F.coalesce("_more", zero)).alias("_taken"),
+            (F.col("_left") - F.coalesce("_words", zero)).alias("_left"),
+        )
+    mine = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_k"))
+    copies = crossed(F.col("_begin"), F.col("_rate"), F.col("_rank")).alias("copies")
+    return ranked.join(small(rates), mine).select(*sized.columns, "source_size", "target", copies)
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """id, source, size, source_size, target and copies of every document, and its columns ``more``."""
+    sized = docs.select(F.col(id_col).alias(id_col), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *more)
     sized = spool(sized, "mix-sizes")  # texts are read once
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return systematic_copies(sized, source_targets(sizes), id_col)
+    targets = spool(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    return systematic_copies(sized, targets, id_col)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document of ``docs`` as often as it was drawn, with all its columns."""
-    # an id that repeats was drawn row by row; its copies are dealt out over its rows again
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(id_col).isNull().alias("_null")]
-    copies = mixed_rows(docs, id_col).groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    each = Window.partitionBy("_key", "_null").orderBy(F.xxhash64("text"))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(each) <= F.pmod("_copies", "_rows")).cast("int")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", stored: bool = False) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it was drawn, with all its columns.
+
+    ``stored``: ``docs`` is what ``spark.read.parquet`` gives, one row for each row of its files.
+    """
+    rows = stored_rows(docs, stored)
+    file, row = F.xxhash64("_locator.file"), F.col("_locator.row")
+    drawn = mixed_rows(rows.withColumns({"_file": file, "_row": row}), id_col, more=("_file", "_row")).where("copies > 0")
+    drawn = drawn.select("_file", "_row", F.col("copies").alias("_copies"))
     return (
-        docs.select(*docs.columns, *key)
-        .join(copies, ["_key", "_null"])
-        .withColumn("_times", share.cast("int"))
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        rows.join(drawn, (file == F.col("_file")) & (row == F.col("_row")))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*docs.columns)
     )
 
@@ -170,28 +183,31 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CAST(least(coalesce(common.level * w, 3 * source_size), 3 * source_size) AS DOUBLE) AS target
   FROM lev LEFT JOIN common ON true
-), x AS (
-  SELECT d.doc_id, d.source, d.size,
-         CASE WHEN size < 8 THEN size ELSE length(bin(size)) * 8 + ((size >> (length(bin(size)) - 4)) & 7) END AS b,
-         substr(md5(concat(CAST(doc_id AS VARCHAR), ':mix')), 1, 1) AS k
-  FROM d
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, b, size, doc_id) AS rank FROM x
-), o AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         CAST(CAST('0x' || substr(md5(concat(source, ':mix')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 + k / CAST(32 AS DOUBLE) AS v
-  FROM t, range(32) AS ks(k)
-), u AS (
-  SELECT * EXCLUDE (v), CASE WHEN v < 1 THEN v ELSE v - 1 END AS u FROM o
-), miss AS (
-  SELECT u.source, u.k, abs(sum(r.size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u))) - max(u.target)) AS miss
-  FROM r JOIN u ON r.source IS NOT DISTINCT FROM u.source GROUP BY 1, 2
-), best AS (
-  SELECT source, first(k ORDER BY miss, k) AS k FROM miss GROUP BY 1
-), pick AS (
-  SELECT u.* FROM u JOIN best ON u.source IS NOT DISTINCT FROM best.source AND u.k = best.k
-)
-SELECT r.doc_id, r.size, t.source_size, t.target,
-       CAST(r.size * (floor(rate * rank + u) - floor(rate * (rank - 1) + u)) AS BIGINT) AS taken
-FROM r JOIN pick t ON r.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.source, d.size, CAST(size * 4 <= target AS INTEGER) + CAST(size * 16 <= target AS INTEGER)
+           + CAST(size * 64 <= target AS INTEGER) + CAST(size * 256 <= target AS INTEGER) AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), x AS (
+  SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY size DESC, doc_id) AS rank FROM r
+), b0 AS (
+  SELECT source, target, CAST(CAST('0x' || substr(md5(concat(source, ':mix')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS begin,
+         CAST(0 AS BIGINT) AS taken, source_size AS rest FROM t
+), """ + ", ".join(
+    f"""r{k} AS (
+  SELECT *, {k} AS k, CASE WHEN rest > 0 THEN least(greatest((target - taken) / CAST(rest AS DOUBLE), 0), 3) ELSE 0 END AS rate FROM b{k}
+), g{k} AS (
+  SELECT x.source, count(*) AS n, CAST(sum(size) AS BIGINT) AS words,
+         CAST(sum(size * (floor(begin + rate * rank) - floor(begin + rate * (rank - 1)))) AS BIGINT) AS more
+  FROM x JOIN r{k} ON x.source IS NOT DISTINCT FROM r{k}.source AND x.k = r{k}.k GROUP BY 1
+), b{k + 1} AS (
+  SELECT r{k}.source, target, begin + rate * coalesce(n, 0) - floor(begin + rate * coalesce(n, 0)) AS begin,
+         taken + coalesce(more, 0) AS taken, rest - coalesce(words, 0) AS rest
+  FROM r{k} LEFT JOIN g{k} ON r{k}.source IS NOT DISTINCT FROM g{k}.source
+)"""
+    for k in range(len(CLASSES) + 1)
+) + """, rates AS (""" + " UNION ALL ".join(f"SELECT source, k, begin, rate FROM r{k}" for k in range(len(CLASSES) + 1)) + """)
+SELECT x.doc_id, x.size, t.source_size, t.target,
+       CAST(x.size * (floor(begin + rate * rank) - floor(begin + rate * (rank - 1))) AS BIGINT) AS taken
+FROM x JOIN rates ON x.source IS NOT DISTINCT FROM rates.source AND x.k = rates.k
+JOIN t ON x.source IS NOT DISTINCT FROM t.source
 """

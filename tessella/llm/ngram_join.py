@@ -8,22 +8,28 @@
    hashes (prefix filtering), which covers what empty blocks could hide.  Sizes fall into levels so that similar sets
    lie in one level or in neighbouring ones, and size-derived bounds give the number of blocks of each level.
    For long n-grams, which texts hardly share by chance, prefix filtering alone needs fewer rows: similar sets share
-   one of their first few n-grams under any common order.  The order puts n-grams last that a sample of one document
-   in ``SAMPLE_EVERY`` finds twice or more (shared passages), so that passages do not make candidates; the sample
-   affects only how many candidates there are, never the result.
-3. Sets that share a signature are paired if their sizes allow the similarity, and if the parities of their n-grams
-   over ``PARITY_BITS`` hashed cells do: each cell whose parity differs takes an n-gram that only one of them has, and
-   similar sets have few of those.  Frequent signatures give stars within windows of two levels instead, never all
-   pairs.  What these edges connect forms the candidate blocks of rows.
-4. Row blocks.  Each block is multiplied with its transpose, column chunk by column chunk, which accumulates the
-   overlap counts of its pairs; pairs whose sizes or counts are below the bound are discarded.  A block of more than
-   ``block_rows`` sets falls into windows of two levels, and a window too large still into parts, of which every two
-   are multiplied in a task of their own.  A block gives
-   a spanning forest of its links, as all that components need.
+   one of their first few n-grams under any common order.  The order puts n-grams last, and the more frequent the
+   later, that a sample of one document in ``SAMPLE_EVERY`` finds twice or more (shared passages), so that passages do
+   not make candidates; the sample affects only how many candidates there are, never the result.
+3. Sets that share a signature of up to ``PAIRS_UP_TO`` sets are paired if their sizes allow the similarity, and if the
+   parities of their n-grams over ``PARITY_BITS`` hashed cells do: each cell whose parity differs takes an n-gram that
+   only one of them has, and similar sets have few of those.  The pairs are dealt into row blocks: each goes to its
+   member with more partners, and members with the same smallest partner share a block, so close copies lie together;
+   a large block is a grid of tiles by both members.
+4. Sets that share a more frequent signature give stars within windows of two levels, never all pairs, and what the
+   stars connect is a row block.  A block too large for one product falls into windows of two levels, and a window too
+   large still is settled in two steps.  First a few of its sets, the heads, are multiplied with all the others, dealt
+   into parts; in a group of near copies that links nearly all to one component.  Pairs within the largest component
+   of a window need no more work.  Then the rest, dealt into parts, meets itself and the parts of that component.  So
+   the texts of a group of many near copies move a few times, whatever their number.
+5. Each tile is multiplied with its transpose, column chunk by column chunk, which accumulates the overlap counts of
+   its pairs; pairs whose sizes or counts are below the bound are discarded.  A product takes up to ``block_rows`` sets
+   and ``block_grams`` n-grams, and gives a spanning forest of its links, as all that components need.
 
 No pair at or above the threshold is lost.  Defined cases: a null or empty text has no n-gram and links with nothing;
-null or repeated identifiers are allowed (a component's id is its smallest identifier that is not null); extra
-columns are not read; an empty table gives no rows.
+a text of any length gives its whole set; null or repeated identifiers are allowed, as rows are told apart by file and
+place in it (a component's id is its smallest identifier that is not null); repeated rows are one class; extra columns
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import documents, spool
+from tessella.llm.shared import discard, documents, shared_folder, small, spool, stored_rows
 from tessella.llm.words import WordHashes, lower_words, mixed, shingles
 
-#: A side of up to so many rows (24 bytes each) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: A signature of up to so many sets gives their pairs, a more frequent one stars.
 PAIRS_UP_TO = 32
 _FALLBACK = 77
@@ -50,6 +54,8 @@ PREFIX_FROM = 5
 #: of them used (the most frequent, 8 bytes each).
 SAMPLE_EVERY, SHARED_BY, MOST_SHARED = 8, 2, 400_000
 PARITY_BITS = 512
+#: Sets of a large window that are multiplied with all the others first, to each part.
+HEADS = 32
 
 
 def levels(pct: int, most: int) -> list[int]:
@@ -85,13 +91,13 @@ def block_signatures(grams: np.ndarray, pct: int) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def prefix_signatures(grams: np.ndarray, pct: int, shared: np.ndarray) -> np.ndarray:
-    """The first n-grams of a sorted set, those in ``shared`` (sorted) last; similar sets have one in common."""
+def prefix_signatures(grams: np.ndarray, pct: int, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first n-grams of a sorted set, those in ``shared`` (sorted) last and by ``place``; similar sets have one in common."""
     n = len(grams)
     if len(shared):
         at = np.minimum(np.searchsorted(shared, grams), len(shared) - 1)
         known = shared[at] == grams
-        grams = np.concatenate((grams[~known], grams[known]))
+        grams = np.concatenate((grams[~known], grams[known][np.argsort(place[at[known]])]))
     return mixed(grams[: n - -(-pct * n // 100) + 1], _FALLBACK).view(np.int64)
 
 
@@ -119,9 +125,9 @@ def _sample_counts(n: int):
     return run
 
 
-def shared_grams(base: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of n-grams that at least SHARED_BY documents of the sample hold."""
-    sample = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(SAMPLE_EVERY)) == 0).select("text")
+def shared_grams(base: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of n-grams that at least SHARED_BY documents of the sample hold; the place of each by rising count."""
+    sample = base.where(F.pmod(F.xxhash64("file", "row"), F.lit(SAMPLE_EVERY)) == 0).select("text")
     found = (
         sample.mapInArrow(_sample_counts(n), "gram bigint, c bigint")
         .groupBy("gram")
@@ -131,14 +137,16 @@ def shared_grams(base: DataFrame, n: int) -> np.ndarray:
         .limit(MOST_SHARED)
         .toArrow()
     )
-    return np.sort(np.asarray(found.column(0).to_numpy()).astype(np.int64).view(np.uint64))
+    grams = np.asarray(found.column(0).to_numpy()).astype(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], (len(grams) - 1 - order).astype(np.int32)  # most frequent first, so the last comes first
 
 
-def _incidence(n: int, pct: int, shared: np.ndarray | None):
+def _incidence(n: int, pct: int, shared: tuple[np.ndarray, np.ndarray] | None):
     def signatures(grams: np.ndarray) -> np.ndarray:
         if not len(grams):
             return np.empty(0, np.int64)
-        return block_signatures(grams, pct) if shared is None else prefix_signatures(grams, pct, shared)
+        return block_signatures(grams, pct) if shared is None else prefix_signatures(grams, pct, *shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -157,8 +165,9 @@ def _incidence(n: int, pct: int, shared: np.ndarray | None):
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("rid"),
                     batch.column("id"),
+                    batch.column("file"),
+                    batch.column("row"),
                     pa.array(sizes, pa.int64()),
                     pa.array(level, pa.int32()),
                     pa.array(s0, pa.int64()),
@@ -166,7 +175,7 @@ def _incidence(n: int, pct: int, shared: np.ndarray | None):
                     pa.array(odd, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ],
-                names=["rid", "id", "n", "level", "s0", "s1", "odd", "sigs"],
+                names=["id", "file", "row", "n", "level", "s0", "s1", "odd", "sigs"],
             )
 
     return run
@@ -219,7 +228,7 @@ def _products(n: int, pct: int):
             node = node.as_py()
             if node not in sets:
                 grams = shingles(hashes.of(lower_words(text.as_py())), n)
-                if set_hash(grams) == (s0.as_py(), s1.as_py()):  # else another row with the same identifier
+                if set_hash(grams) == (s0.as_py(), s1.as_py()):  # else two files share the hash of their path
                     sets[node] = grams
         nodes = sorted(sets)
         links = overlap_links([sets[x] for x in nodes], pct) if len(nodes) > 1 else []
@@ -231,7 +240,7 @@ def _products(n: int, pct: int):
 
 
 def similar_parities(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose parities do not show that too many n-grams differ.
+    """Those of the pairs (a, b, na, nb) whose parities do not show that too many n-grams differ.
 
     Of sets with na and nb n-grams at least pct % similar, at most (100 - pct) / (100 + pct) of na + nb are in one only.
     """
@@ -239,104 +248,203 @@ def similar_parities(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFram
     cells = [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(PARITY_BITS // 64)]
     differ = sum(cells[1:], cells[0])
     few = differ * (100 + pct) <= (F.col("na") + F.col("nb")) * (100 - pct)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(few).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(few).select("a", "b", "na", "nb")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def parted(members: DataFrame, group: list[str], block_rows: int, block_grams: int) -> DataFrame:
+    """``members`` with ``parts``, the number of parts of their group, and ``part``, their own."""
+    half = lambda total, most: F.ceil(total / F.lit(most / 2))
+    sizes = members.groupBy(*group).agg(
+        F.greatest(half(F.count(F.lit(1)), block_rows), half(F.sum("n"), block_grams)).cast("int").alias("parts")
+    )
+    return members.join(small(spool(sizes, "ngram-parts")), group).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
 
 
-def ngram_components(
-    docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1024
-) -> DataFrame:
-    """id, n_shingles, component_id of every row of ``docs``; links are pairs with Jaccard similarity >= pct %."""
+def meetings(part: Column, parts: Column) -> Column:
+    """The tiles of a part so that every two parts of a group meet in one; up to two parts share a single tile."""
+    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != part)
+    tiles = F.transform(others, lambda x: F.concat_ws(":", F.least(x, part), F.greatest(x, part)))
+    return F.when(parts <= 2, F.array(F.lit("0"))).otherwise(tiles)
+
+
+def product_links(base: DataFrame, tiled: DataFrame, n: int, pct: int) -> DataFrame:
+    """Links (a, b) among the sets that share a tile; ``tiled``: file, row, node, s0, s1, block, window, tile."""
+    texts = base.select("file", "row", "text").join(small(spool(tiled, "ngram-tiles")), ["file", "row"])
+    return (
+        texts.select("text", "node", "s0", "s1", "block", "window", "tile")
+        .groupBy("block", "window", "tile")
+        .applyInArrow(_products(n, pct), "a bigint, b bigint")
+    )
+
+
+def pair_links(base: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, pct: int, block_rows: int, block_grams: int) -> DataFrame:
+    """Links (a, b) among the pairs (a, b, na, nb) of set hashes."""
+    both = pairs.select(F.col("a").alias("s0"), F.col("b").alias("by")).unionByName(pairs.select(F.col("b").alias("s0"), F.col("a").alias("by")))
+    near = both.groupBy("s0").agg(F.count(F.lit(1)).alias("degree"), F.least(F.min("by"), F.col("s0")).alias("block"))
+    near = spool(near, "ngram-near")
+    of = lambda x: near.select(F.col("s0").alias(x), F.struct("degree", F.col("s0").alias("s0"), "block").alias(f"{x}_near"))
+    edges = pairs.join(of("a"), "a").join(of("b"), "b")
+    ends = [F.struct(F.col(f"{x}_near").alias("near"), F.col(f"n{x}").alias("n")) for x in "ab"]
+    edges = edges.select(F.greatest(*ends).alias("head"), F.least(*ends).alias("other"))
+    edges = spool(
+        edges.select(
+            F.col("head.near.block").alias("block"), F.col("head.near.s0").alias("head"), F.col("head.n").alias("head_n"),
+            F.col("other.near.s0").alias("other"), F.col("other.n").alias("other_n"),
+        ),
+        "ngram-edges",
+    )
+    side = lambda x: edges.select("block", F.lit(x).alias("side"), F.col(x).alias("s0"), F.col(f"{x}_n").alias("n")).distinct()
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block_rows / 2)), F.ceil(F.sum("n") / F.lit(block_grams / 2)))
+    grid = side("head").unionByName(side("other")).groupBy("block", "side").agg(parts.cast("int").alias("parts"))
+    grid = grid.groupBy("block").agg(*[F.max(F.when(F.col("side") == x, F.col("parts"))).alias(f"{x}_parts") for x in ("head", "other")])
+    large = spool(grid.where("head_parts > 1 or other_parts > 1"), "ngram-grid")
+    edges = edges.join(small(large), "block", "left")
+    at = [F.pmod(F.xxhash64(x), F.coalesce(f"{x}_parts", F.lit(1))) for x in ("head", "other")]
+    edges = edges.withColumn("tile", F.concat_ws(":", *at))
+    tiles = edges.select("block", "tile", F.explode(F.array("head", "other")).alias("_s0")).distinct()
+    tiled = tiles.join(classes, F.col("s0") == F.col("_s0")).select("file", "row", "node", "s0", "s1", "block", F.lit(-1).alias("window"), "tile")
+    return product_links(base, tiled, n, pct)
+
+
+def block_links(base: DataFrame, members: DataFrame, n: int, pct: int, block_rows: int, block_grams: int) -> DataFrame:
+    """Links (a, b) that connect what is similar within each block of ``members``."""
+    row = ["file", "row", "node", "s0", "s1", "block"]
+    large = members.groupBy("block").agg((F.count(F.lit(1)) > block_rows).alias("many"), (F.sum("n") > block_grams).alias("much")).where("many or much")
+    large = small(spool(large.select("block"), "ngram-large"))
+    first = members.join(large, "block", "left_anti").select(*row, F.lit(-2).alias("window"), F.lit("0").alias("tile"))
+    windows = members.join(large, "block").withColumn("window", F.explode(F.array("level", F.col("level") - 1)))
+    windows = spool(parted(windows, ["block", "window"], block_rows, block_grams), "ngram-windows")
+    # windows of one or two parts are multiplied whole
+    first = first.unionByName(windows.where("parts <= 2").select(*row, "window", F.lit("0").alias("tile")))
+    crowd = windows.where("parts > 2")
+    if crowd.isEmpty():
+        return product_links(base, first, n, pct)
+    # heads: some of each part, as many of each window at most, go to all parts of the window
+    drawn = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.lit(block_rows / 2) / F.lit(HEADS)) * F.col("parts")) == 0
+    each = F.when(drawn, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x.cast("string"))).otherwise(F.array(F.col("part").cast("string")))
+    heads = crowd.select(*row, "window", F.explode(each).alias("tile"))
+    found = spool(product_links(base, first.unionByName(heads), n, pct), "ngram-links")
+    # the largest component of each window is settled within
+    roots = connected_components(found)
+    crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counted = crowd.groupBy("block", "window", "root").agg(F.count(F.lit(1)).alias("c"))
+    settled = counted.groupBy("block", "window").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
+    settled = small(spool(settled.where("most.c < all").select("block", "window", F.col("most.root").alias("settled")), "ngram-settled"))
+    crowd = crowd.join(settled, ["block", "window"]).withColumn("rest", (F.col("root") != F.col("settled")).cast("int"))
+    crowd = spool(parted(crowd.drop("parts", "part"), ["block", "window", "rest"], block_rows, block_grams), "ngram-rest")
+    sides = crowd.groupBy("block", "window").agg(*[F.max(F.when(F.col("rest") == k, F.col("parts"))).alias(x) for k, x in ((1, "rests"), (0, "others"))])
+    crowd = crowd.join(small(spool(sides, "ngram-sides")), ["block", "window"])
+    across = lambda count, name: F.transform(F.sequence(F.lit(0), F.col(count) - 1), name)
+    part = F.col("part").cast("string")
+    of_rest = F.concat(meetings(F.col("part"), F.col("parts")), across("others", lambda x: F.concat_ws("x", part, x)))
+    of_other = across("rests", lambda x: F.concat_ws("x", x, part))
+    second = crowd.select(*row, "window", F.explode(F.when(F.col("rest") == 1, of_rest).otherwise(of_other)).alias("tile"))
+    return found.unionByName(product_links(base, second, n, pct))
+
+
+def row_components(
+    docs: DataFrame,
+    n: int,
+    pct: int,
+    id_col: str,
+    text_col: str = "text",
+    block_rows: int = 1024,
+    block_grams: int = 1_000_000,
+    stored: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, file, row, n, s0, s1), classes (s0, s1, root) of the rows with an n-gram, and ``docs`` with _locator.
+
+    Links are pairs with Jaccard similarity >= pct %; rows of a component have one root.
+    """
+    docs = stored_rows(docs, stored)
     base = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).alias("id"),
+        F.xxhash64("_locator.file").alias("file"),
+        F.col("_locator.row").alias("row"),
+        F.col(text_col).cast("string").alias("text"),
     )
-    kind = base.schema["id"].dataType.simpleString()
+    spark, kind = docs.sparkSession, base.schema["id"].dataType.simpleString()
     shared = shared_grams(base, n) if n >= PREFIX_FROM else None
     rows = spool(
-        base.mapInArrow(_incidence(n, pct, shared), f"rid bigint, id {kind}, n bigint, level int, s0 bigint, s1 bigint, odd array<bigint>, sigs array<bigint>"), "ngram-rows"
+        base.mapInArrow(
+            _incidence(n, pct, shared),
+            f"id {kind}, file bigint, row bigint, n bigint, level int, s0 bigint, s1 bigint, odd array<bigint>, sigs array<bigint>",
+        ),
+        "ngram-rows",
     )
 
-    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("rid", "id", "odd")).alias("first"), F.min("id").alias("least"), F.min("level").alias("level"))
-    classes = spool(
-        classes.select("s0", "s1", "level", F.col("first.rid").alias("node"), F.col("first.id").alias("id"), "least", F.col("first.odd").alias("odd")), "ngram-classes"
-    )
+    classes = rows.where("n > 0").groupBy("s0", "s1").agg(F.min(F.struct("file", "row", "n", "level", "odd")).alias("first"))
+    classes = spool(classes.select("s0", "s1", F.monotonically_increasing_id().alias("node"), "first.*"), "ngram-classes")
 
     # sets that share a signature; s0 stands for the class, which at worst makes one more candidate
+    paths = [shared_folder(spark, f"ngram-{x}") for x in ("shared", "multi", "pairs", "centres")]
     found = rows.select(F.explode("sigs").alias("sig"), "s0", "n", "level")
     shared_sigs = found.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("s0").alias("lo"), F.max("s0").alias("hi")).where("lo <> hi")
-    shared_sigs = spool(shared_sigs.select("sig", "c"), "ngram-shared")
-    multi = spool(found.join(small(shared_sigs), "sig").select("sig", "c", "s0", "n", "level").distinct(), "ngram-multi")
+    shared_sigs = spool(shared_sigs.select("sig", "c"), "ngram-shared", paths[0])
+    multi = spool(found.join(small(shared_sigs), "sig").select("sig", "c", "s0", "n", "level").distinct(), "ngram-multi", paths[1])
     # a small group gives its pairs within the size bound; a large one is a star in each window of two levels
     left, right = (multi.where(F.col("c") <= PAIRS_UP_TO).select("sig", F.col("s0").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")))
-    pairs = similar_parities(pairs.select("a", "b", "na", "nb").distinct(), classes, pct)
+    pairs = spool(similar_parities(pairs.select("a", "b", "na", "nb").distinct(), classes, pct), "ngram-pairs", paths[2])
     windows = multi.where(F.col("c") > PAIRS_UP_TO).select("sig", "s0", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
-    centres = windows.groupBy("sig", "level").agg(F.min("s0").alias("centre"))
-    stars = windows.join(centres, ["sig", "level"]).where("s0 <> centre")
-    candidates = connected_components(
-        pairs.select("a", "b").unionByName(stars.select(F.col("centre").alias("a"), F.col("s0").alias("b"))).distinct()
-    )
+    centres = spool(windows.groupBy("sig", "level").agg(F.min("s0").alias("centre")), "ngram-centres", paths[3])
+    stars = windows.join(small(centres), ["sig", "level"]).where("s0 <> centre")
+    links = spool(pair_links(base, pairs, classes, n, pct, block_rows, block_grams), "ngram-pair-links")
+    blocks = connected_components(stars.select(F.col("centre").alias("a"), F.col("s0").alias("b")).distinct())
     members = spool(
-        classes.join(candidates, classes["s0"] == candidates["node"]).select(
-            classes["node"], "id", "s0", "s1", "level", F.col("root").alias("block")
+        classes.join(small(blocks.withColumnRenamed("node", "_s0")), F.col("s0") == F.col("_s0")).select(
+            "file", "row", "node", "s0", "s1", "n", "level", F.col("root").alias("block")
         ),
         "ngram-members",
     )
-    # a block too large for one product falls into windows of two levels, and those into parts of which every two meet
-    sizes = members.groupBy("block").agg((F.count(F.lit(1)) > block_rows).alias("large"))
-    members = members.join(sizes, "block").withColumn(
-        "window", F.explode(F.when(F.col("large"), F.array("level", F.col("level") - 1)).otherwise(F.array(F.lit(-2))))
-    )
-    parts = members.groupBy("block", "window").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows / 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    meets = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("part"))),
-        lambda x: F.least(x, F.col("part")).cast("bigint") * F.col("parts") + F.greatest(x, F.col("part")),
-    )
-    members = (
-        members.join(parts, ["block", "window"])
-        .withColumn("parts", F.when(F.col("parts") <= 2, F.lit(1)).otherwise(F.col("parts")))
-        .withColumn("part", part)
-        .withColumn("tile", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(meets)))
-        .select(F.col("id").alias("member_id"), "node", "s0", "s1", "block", "window", "tile")
-    )
-    members = spool(members, "ngram-tiles")
-    texts = base.select("id", "text").join(small(members), F.col("id").eqNullSafe(F.col("member_id")))
-    links = (
-        texts.select("text", "node", "s0", "s1", "block", "window", "tile")
-        .groupBy("block", "window", "tile")
-        .applyInArrow(_products(n, pct), "a bigint, b bigint")
-    )
-    roots = connected_components(links)
+    discard(spark, *paths)
+    if not members.isEmpty():
+        links = links.unionByName(block_links(base, members, n, pct, block_rows, block_grams))
+    roots = connected_components(links).withColumnRenamed("node", "_n")
+    found = classes.join(roots, F.col("node") == F.col("_n"), "left").select("s0", "s1", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "file", "row", "n", "s0", "s1"), spool(found, "ngram-roots"), docs
 
-    joined = classes.join(roots.withColumnRenamed("node", "_n"), classes["node"] == F.col("_n"), "left").select(
-        "s0", "s1", "least", F.coalesce("root", "node").alias("root")
-    )
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(smallest, "root").select("s0", "s1", "component_id")
+
+def ngram_components(
+    docs: DataFrame,
+    n: int = 5,
+    pct: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_rows: int = 1024,
+    block_grams: int = 1_000_000,
+    stored: bool = False,
+) -> DataFrame:
+    """id, n_shingles, component_id of every row of ``docs``; links are pairs with Jaccard similarity >= pct %.
+
+    ``stored``: ``docs`` is what ``spark.read.parquet`` gives, one row for each row of its files.
+    """
+    rows, classes, _ = row_components(docs, n, pct, id_col, text_col, block_rows, block_grams, stored)
+    held = rows.where("n > 0").join(classes, ["s0", "s1"])
+    least = spool(held.groupBy("root").agg(F.min("id").alias("component_id")), "ngram-least")
+    ids = spool(classes.join(least, "root").select("s0", "s1", "component_id"), "ngram-ids")
     alone = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return (
-        rows.where("n > 0")
-        .select("id", "n", "s0", "s1")
-        .join(ids, ["s0", "s1"])
-        .select("id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(alone)
-    )
+    linked = rows.where("n > 0").join(ids, ["s0", "s1"]).select("id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(alone)
 
 
-def near_duplicates_removed(docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold the smallest id of their component; rows without an id stay."""
-    found = ngram_components(docs, n, pct, id_col)
-    drop = found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_gone"), "left_anti")
+def near_duplicates_removed(docs: DataFrame, n: int = 5, pct: int = 80, id_col: str = "doc_id", stored: bool = False) -> DataFrame:
+    """The rows of ``docs`` without near copies: one row of each component stays, that with the smallest id.
+
+    Rows are told apart by their place in the files, so a row that shares the id of a near copy stays, and rows without
+    an id, which come after all others, are near copies as well.  Rows without words all stay.
+    """
+    rows, classes, docs = row_components(docs, n, pct, id_col, stored=stored)
+    held = rows.where("n > 0").join(classes, ["s0", "s1"]).select("root", F.struct(F.col("id").isNull().alias("none"), "id", "file", "row").alias("own"))
+    keep = spool(held.groupBy("root").agg(F.min("own").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "keep"), "ngram-keep")
+    gone = held.join(keep, "root").where("own <> keep").select(F.col("own.file").alias("_file"), F.col("own.row").alias("_row"))
+    gone = small(spool(gone, "ngram-gone"))
+    here = (F.xxhash64("_locator.file") == F.col("_file")) & (F.col("_locator.row") == F.col("_row"))
+    return docs.join(gone, here, "left_anti").drop("_locator")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir), n=3, pct=90).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return ngram_components(documents(spark, sf_dir), n=3, pct=90, stored=True).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 OP9_SQL = r"""

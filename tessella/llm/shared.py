@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A side of a join of up to so many rows, narrow ones only, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset in one local process."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -37,7 +37,7 @@ def brute_components(rows, n, pct):
     for i, s in enumerate(sets):
         for g in s:
             by_gram[g].append(i)
-    pairs = {(a, b) for at in by_gram.values() if len(at) < 400 for a in at for b in at if a < b}
+    pairs = {(a, b) for at in by_gram.values() for a in at for b in at if a < b}
     for a, b in pairs:
         inter = len(sets[a] & sets[b])
         if 100 * inter >= pct * len(sets[a] | sets[b]):
@@ -116,6 +116,31 @@ def test_ngram_components_with_many_close_variants_in_small_blocks(spark):
         assert sorted(got, key=str) == brute_components(rows, n, pct)
 
 
+def test_a_crowd_of_near_copies_is_settled_by_heads_and_rest(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 800, 120)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.integers(0, len(words), int(rng.integers(0, 4 if i % 13 else 9))):
+            words[at] = f"x{rng.integers(0, 90)}"
+        rows.append((5000 - i, " ".join(words)))
+    rows += [(i, " ".join([*base[:40], *(f"y{i}z{k % 7}" for k in range(80))])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, pct, kw in ((5, 80, {"block_rows": 24}), (3, 90, {"block_grams": 3000}), (5, 80, {"block_rows": 16, "block_grams": 2500})):
+        got = [tuple(r) for r in ngram_join.ngram_components(docs, n, pct, **kw).collect()]
+        assert sorted(got, key=str) == brute_components(rows, n, pct), (n, pct, kw)
+
+
+def test_near_duplicates_go_by_row_and_not_by_id(spark):
+    words = [f"word{i}" for i in range(60)]
+    copy, other = " ".join([*words[:-1], "changed"]), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, " ".join(words)), (5, copy), (5, other), (None, copy + " tail"), (None, copy + " tail"), (None, "alone here"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.near_duplicates_removed(docs).collect()]
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_block_signatures_never_lose_a_pair():
     rng = np.random.default_rng(7)
     for pct in (50, 80, 90):
