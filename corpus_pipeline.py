@@ -20,17 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the largest id, of each text."""
-    return exact_dedup.deduplicated(docs)
+    return exact_dedup.deduplicated(docs, stored=bool(docs.inputFiles()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by 80 % of five-word shingles."""
-    return ngram_join.near_duplicates_removed(docs, n=5, pct=80)
+    return ngram_join.near_duplicates_removed(docs, n=5, pct=80, stored=bool(docs.inputFiles()))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture draws it."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, stored=bool(docs.inputFiles()))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
