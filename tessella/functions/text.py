@@ -12,6 +12,26 @@ CJK_SHARE = 0.3
 PREVIEW = 200
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row: inside a lambda, a column from outside is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def windows(chars: Column, n: int) -> Column:
+    """All runs of n neighbours of an array of characters, joined, in time proportional to the array."""
+    out = chars
+    for k in range(1, n):
+        out = F.zip_with(F.slice(out, 1, F.greatest(F.size(chars) - k, F.lit(0))), F.slice(chars, k + 1, F.size(chars)), lambda a, b: F.concat(a, b))
+    return out
+
+
+def character_runs(flat: Column, n: int) -> Column:
+    """The n-grams of a text; a shorter text is its own, an empty one has none."""
+    none = F.array().cast("array<string>")
+    whole = lambda f: F.when(F.length(f) == 0, none).when(F.length(f) < n, F.array(f)).otherwise(bound(F.split(f, ""), lambda c: windows(c, n)))
+    return bound(flat, whole)
+
+
 def clean_text(text: Column) -> Column:
     """Without URLs, mail addresses and the signs {}[]"\\=#; white space collapsed."""
     text = F.regexp_replace(text, r"https?://\S+|www\.\S+", "")
@@ -35,10 +55,7 @@ def tokenize(text: Column, segment: Callable[[Column], Column] | None = None) ->
 
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """Sliding character n-grams of the cleaned text without spaces; a shorter text is its own n-gram."""
-    flat = F.regexp_replace(clean_text(F.coalesce(text, F.lit(""))), " ", "")
-    size = F.length(flat)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(flat, i, F.lit(n)))
-    return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(flat)).otherwise(grams)
+    return character_runs(F.regexp_replace(clean_text(F.coalesce(text, F.lit(""))), " ", ""), n)
 
 
 def expand_synonyms(query: str, synonyms: Mapping[str, str]) -> list[str]:
@@ -65,8 +82,7 @@ def core_tokens(variants: Column, light: Sequence[str] = ()) -> Column:
 
 
 def core_hits(text: Column, core: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.size(F.filter(core, lambda t: F.contains(low, t)))
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.size(F.filter(core, lambda t: F.contains(low, t))))
 
 
 def item_name(text: Column, keys: Sequence[str]) -> Column:
@@ -91,6 +107,7 @@ def same_tokens(a: Column, b: Column) -> Column:
 
 
 def identifier(text: Column, prefix: str = "t_") -> Column:
+    """Lower-case letters, digits and underscores; a name that is empty or begins with a digit gets the prefix."""
     name = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", ""))
     return F.when((name == "") | name.rlike("^[0-9]"), F.concat(F.lit(prefix), name)).otherwise(name)
 
@@ -111,8 +128,8 @@ def redacted(text: Column) -> Column:
     return F.coalesce(F.substring(F.sha2(text, 256), 1, 12), F.lit("none"))
 
 
-def md5_short(text: Column, size: int = 32) -> Column:
-    return F.substring(F.md5(text), 1, size)
+def md5_short(text: Column, size: int = 32, salt: str = "") -> Column:
+    return F.substring(F.md5(F.concat(text, F.lit(salt))), 1, size)
 
 
 def stable_uuid(text: Column) -> Column:
@@ -128,10 +145,13 @@ def stable_uuid(text: Column) -> Column:
 
 def merged_json(meta: Column, text: Column) -> Column:
     """``meta`` (a map) merged into a JSON object, whose own keys win; other text as it is."""
-    own = F.from_json(text, "map<string,string>")
-    isobject = F.trim(text).startswith("{") & own.isNotNull()
-    more = F.map_filter(meta, lambda k, v: ~F.array_contains(F.map_keys(own), k))
-    return F.when(isobject, F.to_json(F.map_concat(own, more))).otherwise(text)
+
+
+    def merged(own: Column) -> Column:
+        more = F.map_filter(meta, lambda k, v: ~F.map_contains_key(own, k))
+        return F.when(F.trim(text).startswith("{") & own.isNotNull(), F.to_json(F.map_concat(own, more))).otherwise(text)
+
+    return bound(F.from_json(text, "map<string,string>"), merged)
 
 
 def chosen_fields_json(df_columns: Sequence[str]) -> Column:
@@ -142,17 +162,16 @@ def chosen_fields_json(df_columns: Sequence[str]) -> Column:
 def simhash_bits(text: Column, width: int = 4) -> Column:
     """64-bit SimHash over character shingles, by their MD5, as an array of 64 zeros and ones."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w一-鿿]+", "")
-    size = F.length(flat)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - (width - 1), F.lit(1))), lambda i: F.substring(flat, i, F.lit(width)))
-    # 16 hex digits of each shingle, as four-bit numbers
-    digits = F.transform(grams, lambda g: F.substring(F.md5(g), 17, 16))
+    grams = bound(flat, lambda f: F.when(F.length(f) < width, F.array(f)).otherwise(bound(F.split(f, ""), lambda c: windows(c, width))))
+    # the last 16 hex digits of each shingle's MD5, as two numbers of 32 bits
+    half = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+    halves = F.transform(F.transform(grams, F.md5), lambda d: F.struct(half(d, 17).alias("high"), half(d, 25).alias("low")))
 
-    def bit(i: int) -> Column:
-        place = F.transform(digits, lambda d: F.conv(F.substring(d, i // 4 + 1, 1), 16, 10).cast("int"))
-        ones = F.size(F.filter(place, lambda v: v.bitwiseAND(F.lit(8 >> (i % 4))) != 0))
-        return (ones * 2 > F.size(place)).cast("int")
+    def bits(rows: Column) -> Column:
+        ones = lambda name, k: F.size(F.filter(rows, lambda r: r[name].bitwiseAND(F.lit(1 << k)) != 0))
+        return F.array(*[(ones(name, k) * 2 > F.size(rows)).cast("int") for name in ("high", "low") for k in range(31, -1, -1)])
 
-    return F.array(*[bit(i) for i in range(64)])
+    return bound(halves, bits)
 
 
 def simhash_similarity(a: Column, b: Column) -> Column:

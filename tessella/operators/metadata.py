@@ -18,15 +18,19 @@ MAPPING = (
     "dataset_id string, table_name string, column_name string, nl_term string, db_value string, match_mode string, source string, enabled boolean"
 )
 JOB = "job_id bigint, dataset_id string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, error string"
-#: Operators offered for each kind of dimension.
-KIND_OPERATORS = {"time": ["gte", "lte", "between"], "number": ["eq", "gte", "lte", "between"], "categorical": ["eq", "in"]}
+# Operators offered for each kind of dimension, in their order.
+KIND_OPERATORS = {"time": ["between", "gte", "lte"], "number": ["eq", "in", "gte", "lte", "between"], "categorical": ["eq", "in"]}
 TRAINING_SUFFIXES = {"sql": "-sql", "ddl": "-ddl", "documentation": "-doc"}
 
 
+# Fixed parts of type names that make a column one of times or of numbers.
+TIME_TYPES, NUMBER_TYPES = "date|time|year", "int|decimal|numeric|float|double|real"
+
+
 def column_kind(data_type):
     """Time, number or categorical by the type's name; time is tested first."""
     low = F.lower(data_type)
-    return F.when(low.rlike("date|time|year"), "time").when(low.rlike("int|decimal|numeric|float|double|real"), "number").otherwise("categorical")
+    return F.when(low.rlike(TIME_TYPES), "time").when(low.rlike(NUMBER_TYPES), "number").otherwise("categorical")
 
 
 def columns_of(spark: SparkSession, dataset_id: str, tables: dict[str, DataFrame], primary: dict[str, str] | None = None, foreign: list[tuple[str, str, str, str]] = ()) -> DataFrame:
@@ -42,17 +46,24 @@ def columns_of(spark: SparkSession, dataset_id: str, tables: dict[str, DataFrame
 
 
 def unique_columns(df: DataFrame) -> list[str]:
-    """Columns without nulls whose values are all distinct, by one exact pass per table."""
+    """Columns without nulls whose values are all distinct.
+
+    One pass sketches every column; those whose sketch is far from the number of rows are out, the others are counted
+    exactly together in a second pass.
+    """
     scalar = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("int", "bigint", "string", "smallint")]
     if not scalar:
         return []
-    n = df.count()
-    found = []
-    for c in scalar:
-        # distinct values are counted by a shuffle on the column; nothing comes to the driver but the count
-        if df.where(F.col(c).isNotNull()).select(c).distinct().count() == n and n:
-            found.append(c)
-    return found
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(scalar)],
+        *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(scalar)],
+    ).first()
+    likely = [c for i, c in enumerate(scalar) if first["n"] and first[f"v{i}"] == first["n"] and first[f"d{i}"] >= 0.8 * first["n"]]
+    if not likely:
+        return []
+    exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"e{i}") for i, c in enumerate(likely)]).first()
+    return [c for i, c in enumerate(likely) if exact[f"e{i}"] == first["n"]]
 
 
 def included(child: DataFrame, column: str, parent: DataFrame, key: str) -> bool:
@@ -127,17 +138,28 @@ def draft_catalog(columns: DataFrame, relations: list[tuple[str, str, str, str]]
 # --- values -------------------------------------------------------------------------------------------------------
 
 
-def value_candidates(questions: DataFrame, mappings: DataFrame, samples: DataFrame) -> DataFrame:
+def physical_mappings(mappings: DataFrame, dimensions: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rows of ``MAPPING`` with the dimension_key of their physical table and column.
+
+    ``dimensions``: dimension_key, table_key, field; ``tables``: table_key, physical_table.
+    """
+    named = dimensions.join(tables, "table_key").select("dimension_key", F.col("physical_table").alias("table_name"), F.col("field").alias("column_name"))
+    return mappings.join(named, ["table_name", "column_name"])
+
+
+def value_candidates(questions: DataFrame, mappings: DataFrame, samples: DataFrame, block: int = 256) -> DataFrame:
     """Filters that questions (qid, question) name by value: mapped terms score 1.0, sampled values 0.8.
 
-    ``mappings`` are rows of ``MAPPING`` with dimension_key; ``samples``: dimension_key, value.  Both are dictionaries of
-    a data set; the questions are the large side and are scanned once against the broadcast dictionary.
+    ``mappings`` are rows of ``MAPPING`` with dimension_key; ``samples``: dimension_key, value.  The terms go in blocks of
+    ``block``; a question meets a block as one row and keeps the terms it holds, so no pairs of both sides are made.
     """
     terms = mappings.where("enabled").select("dimension_key", "nl_term", "db_value", F.lit(1.0).alias("score")).unionByName(
         samples.select("dimension_key", F.col("value").alias("nl_term"), F.col("value").alias("db_value"), F.lit(0.8).alias("score"))
     )
-    named = F.contains(F.col("question"), F.col("nl_term")) | F.contains(F.col("question"), F.col("db_value"))
-    found = questions.join(terms.where("nl_term <> ''"), named)
+    terms = terms.where("nl_term <> ''").withColumn("_block", F.floor(F.monotonically_increasing_id() / block))
+    blocks = terms.groupBy("_block").agg(F.collect_list(F.struct("dimension_key", "nl_term", "db_value", "score")).alias("terms"))
+    held = F.filter("terms", lambda t: F.contains(F.col("question"), t["nl_term"]) | F.contains(F.col("question"), t["db_value"]))
+    found = questions.crossJoin(blocks).select("qid", F.inline(held))
     return found.groupBy("qid", "dimension_key", "db_value").agg(F.max("score").alias("score"), F.min("nl_term").alias("nl_term"))
 
 

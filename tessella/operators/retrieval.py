@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as tx
 from tessella.functions import vector as vx
+from tessella.sources.tables import written
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -71,20 +72,21 @@ class Bm25Index:
 
 
 def bm25_index(docs: DataFrame) -> Bm25Index:
-    """Postings and statistics; terms with negative idf get EPSILON times the mean idf."""
+    """Postings and statistics, written once; terms with negative idf get EPSILON times the mean idf."""
     tokens = docs.select("doc_id", tx.tokenize(F.col("text")).alias("tokens"))
     postings = (
         tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
         .groupBy("doc_id", "term", "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    postings = written(postings, "bm25-postings")
     row = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
     n, avgdl = row["n"], float(row["avgdl"] or 0.0)
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     terms = raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, (n, avgdl))
+    return Bm25Index(postings, written(terms, "bm25-terms"), (n, avgdl))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
@@ -124,21 +126,22 @@ def ngram_scores(index: DataFrame, queries: DataFrame, n: int = 2) -> DataFrame:
     )
 
 
-def substring_score(text: Column, query: Column) -> Column:
-    """Null where the query does not occur; early and long matches score higher."""
-    at = F.instr(F.lower(text), F.lower(query)) - 1
+def substring_score(text: Column, query: Column, low: Column | None = None) -> Column:
+    """Null where the query does not occur; early and long matches score higher; ``low``: the text in lower case."""
+    at = F.instr(F.lower(text) if low is None else low, F.lower(query)) - 1
     size = F.length(text)
     return F.when((at >= 0) & (F.length(query) > 0), POSITION_WEIGHT / (1 + at / size) + LENGTH_WEIGHT * (F.length(query) / size))
 
 
-def substring_scores(docs: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
-    """All queries in one scan of the documents: each text is tested against a literal array of queries."""
-    asked = F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(s.strip()).alias("query")) for q, s in queries])
-    found = F.filter(
-        F.transform(asked, lambda q: F.struct(q["qid"].alias("qid"), substring_score(F.col("text"), q["query"]).alias("score"))),
-        lambda x: x["score"].isNotNull(),
-    )
-    return docs.select("doc_id", F.explode(found).alias("x")).select("x.qid", "doc_id", "x.score")
+def substring_scores(docs: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
+    """qid, doc_id, score of all documents that hold a query (qid, query): one scan of the documents for each block of queries."""
+    asked = queries.select("qid", F.trim("query").alias("query")).where("query <> ''")
+    asked = asked.withColumn("_block", F.floor(F.monotonically_increasing_id() / block))
+    blocks = asked.groupBy("_block").agg(F.collect_list(F.struct("qid", "query")).alias("asked"))
+    scores = F.transform("asked", lambda q: F.struct(q["qid"].alias("qid"), substring_score(F.col("text"), q["query"], F.col("_low")).alias("score")))
+    held = F.filter(scores, lambda x: x["score"].isNotNull())
+    texts = docs.select("doc_id", "text", F.lower("text").alias("_low"))
+    return texts.crossJoin(small(blocks)).select("doc_id", F.explode(held).alias("x")).select("x.qid", "doc_id", "x.score")
 
 
 def vector_scores(vectors: DataFrame, queries: list[tuple[str, list[float]]], metric: str = "l2sq") -> DataFrame:
@@ -261,7 +264,7 @@ def fused(merged: DataFrame, texts: DataFrame, core: DataFrame, mode: str) -> Da
         combined = sum((w * F.col(f"{n}_norm") for n, w in KEYWORD_WEIGHTS.items()), F.lit(0.0))
     else:
         combined = alpha * F.col("semantic_norm") + (1 - alpha) * F.col("bm25_norm")
-    x = texts.join(small(normalised_channels(merged)), "doc_id").join(small(core), "qid", "left")
+    x = texts.join(small(written(normalised_channels(merged), "fused-channels")), "doc_id").join(small(core), "qid", "left")
     x = x.withColumn("core", F.coalesce("core", F.array().cast("array<string>"))).withColumn("hits", tx.core_hits(F.col("text"), F.col("core")))
     asked, meant = F.size("core") > 0, F.col("hits") >= INTENT_HITS
     penalty = F.when(asked & ~meant, MISS_PENALTY).when(asked & (F.col("hits") < F.size("core")), PART_PENALTY).otherwise(0.0)

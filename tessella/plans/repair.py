@@ -27,49 +27,76 @@ MEASURE_ENDINGS = ("数", "量", "额", "率")
 # Fixed forms in which a question asks for groups; {} is the dimension.
 GROUP_FORMS = ("各{}", "每个{}", "按{}", "分{}", "每{}", "和{}", "及{}", "、{}", "{}维度", "{}排名")
 ENGLISH_GROUP_FORMS = ("by {}", "per {}", "each {}", "every {}", "for each {}")
+# Numerals, words that name an end of a ranking, and units that may follow a number.
 NUMERALS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-MOST_WORDS, LEAST_WORDS = "最高|最多|最大|highest|most|largest", "最低|最少|最小|lowest|least|smallest"
-
-_COUNT = r"(\d{1,3}|[零一二两三四五六七八九十]{1,3})"
-_UNIT = r"\s*(?:名|个|条|位)?"
-_RANKS = tuple(
-    re.compile(p, re.I)
-    for p in (
-        rf"(?:前|top|bottom)\s*{_COUNT}{_UNIT}",
-        rf"(?:{MOST_WORDS}|{LEAST_WORDS})\s*{_COUNT}{_UNIT}",
-        rf"{_COUNT}{_UNIT}\s*(?:{MOST_WORDS}|{LEAST_WORDS})",
-    )
-)
-_ASCENDING = re.compile(rf"{LEAST_WORDS}|bottom|倒数|后\s*\d", re.I)
-_DESCENDING = re.compile(rf"前\s*\d|前[一二两三四五六七八九十]|top|{MOST_WORDS}", re.I)
+TEN = "十"
+MOST_WORDS = ("最高", "最多", "最大", "highest", "most", "largest")
+LEAST_WORDS = ("最低", "最少", "最小", "lowest", "least", "smallest")
+FRONT_WORDS, BACK_WORDS = ("前", "top"), ("后", "倒数", "bottom")
+NEEDS_NUMBER = ("前", "后")
+UNITS = "名个条位"
+MOST_RANKS = 1000
+
+ROLES = {w: role for role, words in (("most", MOST_WORDS), ("least", LEAST_WORDS), ("front", FRONT_WORDS), ("back", BACK_WORDS)) for w in words}
+_MARK = re.compile("|".join([*sorted(ROLES, key=len, reverse=True), "[0-9]+", f"[{''.join(NUMERALS)}{TEN}]+"]))
+
+
+@dataclass(frozen=True)
+class Mark:
+    """A number or a word of ranking in a question; ``gap``: the text between it and the mark before."""
+
+    word: str
+    role: str
+    number: int | None
+    gap: str
 
 
 def number_of(text: str) -> int | None:
     """Digits or a Chinese numeral up to 99."""
     text = text.strip()
-    if re.fullmatch(r"\d+", text):
+    if text.isdecimal():
         return int(text)
-    tens, ten, ones = text.partition("十")
-    if ten:
-        high = NUMERALS.get(tens) if tens else 1
-        low = NUMERALS.get(ones) if ones else 0
-        return None if high is None or low is None else high * 10 + low
-    return NUMERALS.get(text)
+    total, ones = 0, None
+    for sign in text:
+        if sign == TEN and not total:
+            total, ones = 10 * (1 if ones is None else ones), None
+        elif sign in NUMERALS and ones is None:
+            ones = NUMERALS[sign]
+        else:
+            return None
+    return total + (ones or 0) if text else None
+
+
+def marks(question: str) -> list[Mark]:
+    """The numbers and ranking words of a question, in order."""
+    low, out, end = question.lower(), [], 0
+    for found in _MARK.finditer(low):
+        word = found.group()
+        role = ROLES.get(word, "number")
+        out.append(Mark(word, role, number_of(word) if role == "number" else None, low[end : found.start()]))
+        end = found.end()
+    return out
+
+
+def ranks(question: str) -> list[tuple[str, int]]:
+    """(role, number) of every ranking word with a number next to it: those before numbers first, ends before extremes."""
+    seen = marks(question)
+    pairs = list(zip(seen, seen[1:]))
+    before = [(a.role, b.number) for a, b in pairs if a.role != "number" and b.number is not None and not b.gap.strip()]
+    after = [(b.role, a.number) for a, b in pairs if a.number is not None and b.role in ("most", "least") and not b.gap.strip().strip(UNITS)]
+    return sorted(before, key=lambda x: x[0] in ("most", "least")) + after
 
 
 def rank_limit(question: str) -> int | None:
-    for pattern in _RANKS:
-        found = pattern.search(question)
-        n = number_of(found.group(1)) if found else None
-        if n is not None and 1 <= n <= 1000:
-            return n
-    return None
+    return next((n for role, n in ranks(question) if 1 <= n <= MOST_RANKS), None)
 
 
 def rank_direction(question: str) -> str | None:
-    if _ASCENDING.search(question):
+    counted = {role for role, _ in ranks(question)}
+    roles = {m.role for m in marks(question) if m.word not in NEEDS_NUMBER} | counted
+    if roles & {"least", "back"}:
         return "asc"
-    return "desc" if _DESCENDING.search(question) else None
+    return "desc" if roles & {"most", "front"} else None
 
 
 def measure_term(term: str) -> bool:
@@ -97,21 +124,30 @@ def spans(question: str, term: str) -> list[tuple[int, int]]:
 
 def named_metrics(question: str, catalog: Catalog) -> set[str]:
     """Metrics a question names; a name inside a longer name of another metric does not count."""
-    found = [(k, s, e) for k, terms in terms_of(catalog, "metric").items() for t in terms if measure_term(t) for s, e in spans(question, t)]
-    return {k for k, s, e in found if not any(o != k and a <= s and e <= b and b - a > e - s for o, a, b in found)}
+    places = sorted((start, -end, key) for key, terms in terms_of(catalog, "metric").items() for t in filter(measure_term, terms) for start, end in spans(question, t))
+    named: set[str] = set()
+    wider: list[tuple[int, int, str]] = []  # what has begun, from left to right and the longest first
+    for start, minus_end, key in places:
+        end = -minus_end
+        if all(other == key or last < end or (first, last) == (start, end) for first, last, other in wider):
+            named.add(key)
+        wider.append((start, end, key))
+    return named
+
+
+# Signs of comparison by the name of the operator that stands for them; strictness is lost.
+SIGNS = {"eq": ("=", "=="), "gte": (">", ">="), "lte": ("<", "<=")}
+REFUSED = ("<>", "!=")
+_NAMED_SIGNS = {sign: name for name, signs in SIGNS.items() for sign in signs}
 
 
 def normal_operator(operator: str) -> str:
-    """Symbols to names; > and < lose their strictness, inequality is refused."""
+    """The name of an operator given by name or sign."""
     op = operator.strip().lower()
-    if op in ("<>", "!="):
+    sign = "".join(c for c in op if c in "<>=!")
+    if sign in REFUSED:
         raise SemanticError(f"operator {operator} is not supported")
-    if op in ("=", "=="):
-        return "eq"
-    for sign, name in ((">=", "gte"), ("<=", "lte"), (">", "gte"), ("<", "lte")):
-        if sign in op:
-            return name
-    return op
+    return _NAMED_SIGNS.get(sign, op)
 
 
 @dataclass(frozen=True)

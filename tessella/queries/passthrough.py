@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessella.plans import guard
 from tessella.queries.base import query, table
 from tessella.sources import retail
-from tessella.sources.tables import register_views
+from tessella.sources.tables import register_views, shared_path
 from tessella.streaming import events as streams
 
 SQL = {
@@ -42,12 +40,10 @@ for _name, _sql in SQL.items():
 def str_event_window(spark, sf_dir):
     """Daily counts by a stream that reads all there is and stops."""
     path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-stream-")
-    import uuid
-
-    name = f"events_{uuid.uuid4().hex}"
-    return streams.run_once(spark, streams.windowed_counts(source), name, f"{root}/{name}")
+    # a stream reads folders and globs, so a table of one file is named by a glob
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    folder = shared_path(spark, "events")
+    return streams.run_once(spark, streams.windowed_counts(source), f"events_{folder[-32:]}", folder)
 
 
 @query("evt_batch_window", "SELECT date_trunc('day', ts) AS window_start, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")

@@ -24,7 +24,7 @@ def txt_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.get(t, F.lit(0)).alias("first_token"), F.md5(F.array_join(t, " ")).alias("joined"))
 
 
-@query("txt_ngrams", f"SELECT substr(flat, CAST(i AS BIGINT), 2) AS gram, COUNT(*) AS n FROM (SELECT {FLAT} AS flat FROM documents), range(1, 200000) r(i) WHERE i < greatest(length(flat), 2) AND length(flat) > 0 GROUP BY 1")
+@query("txt_ngrams", f"SELECT gram, COUNT(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(flat), 2)), lambda i: array_slice(flat, CAST(i AS BIGINT), CAST(i + 1 AS BIGINT)))) AS gram FROM (SELECT {FLAT} AS flat FROM documents) WHERE length(flat) > 0) GROUP BY 1")
 def txt_ngrams(spark, sf_dir):
     grams = table(spark, sf_dir, "documents").select(F.explode(tx.char_ngrams(F.col("text"))).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

@@ -61,7 +61,7 @@ def test_ngrams_and_substrings(docs, queries):
             if hits >= min(2, len(own)):
                 want[q, d] = hits / len(own)
     assert got == pytest.approx(want)
-    got = {(r["qid"], r["doc_id"]): r["score"] for r in rt.substring_scores(docs, [("x", "FOX"), ("y", "zebra")]).collect()}
+    got = {(r["qid"], r["doc_id"]): r["score"] for r in rt.substring_scores(docs, docs.sparkSession.createDataFrame([("x", "FOX"), ("y", "zebra"), ("z", " ")], "qid string, query string")).collect()}
     assert got == pytest.approx({("x", 1): 0.7 / (1 + 4 / 11) + 0.3 * 3 / 11, ("x", 2): 0.7 / (1 + 5 / 8) + 0.3 * 3 / 8})
 
 
