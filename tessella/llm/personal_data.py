@@ -15,8 +15,9 @@ which none stands out.  A stretch is decoded in one piece however long it is, an
 Weights are learned in numpy by gradient ascent on the log-likelihood (forward-backward over segments) from written
 examples: sentences made from a rule with a fixed seed, with entities in many forms and numbers that are none.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows get equal results; extra columns are not
-read; an empty table gives no rows.
+Defined cases: a null text counts as empty and has no spans; a text of any length is read to its end; of
+segmentations of equal score the one with shorter segments and earlier labels stays; repeated rows and rows without an
+id get results of their own; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def span_features(text: str, start: int, end: int, tokens: int, before: list[str
         names.append(f"luhn{luhn(_NOT_DIGIT.sub('', core))}")
         names.append("groups" + "-".join(str(len(g)) for g in re.split(r"[ -]+", core)[:6]))
     parts = core.split(".")
-    if len(parts) == 4 and all(p.isdigit() for p in parts):
+    if len(parts) == 4 and all(p.isdecimal() for p in parts):  # not "²", which is a digit but no number
         names.append(f"octets{all(len(p) <= 3 and int(p) < 256 for p in parts)}")
     for kind, words in _HINTS.items():
         for far, word in enumerate(reversed(before)):

@@ -40,6 +40,7 @@ def awkward_rows() -> list[tuple]:
         11: "one",
         12: "two words",
         13: "é ü ß 日本語 text\x0bwith\x0codd\x1cspaces and more 👍",
+        15: "host 1.2.3.² end ①②③④ and 4.٣.2.1 with ½",
         14: "a line\na line\na line\n\n  \nanother",
     }
     rows = [(i, t, "en" if i % 2 else None, None if i % 4 == 0 else f"s{i % 3}", len(t) if t else None) for i, t in texts.items()]

@@ -56,6 +56,9 @@ def test_awkward_rows(spark, field):
     assert len(rows) == len(awkward_rows())
     texts = {r[0]: r[1] for r in awkward_rows() if r[0] not in (2, None)}
     check_rows([r for r in rows if r[0] in texts], texts)
+    # repeated ids and rows without one, row by row
+    want = sorted((str(r[0]), pd.written(pd.all_spans(r[1], field)[1])) for r in awkward_rows())
+    assert sorted((str(r[0]), r[6]) for r in rows) == want
     assert pd.personal_data(empty(spark), field).count() == 0
 
 
@@ -158,6 +161,26 @@ def test_a_span_across_the_400th_number_of_a_run(field):
         assert ("phone", "(555) 123-4567") in found and ("email", "bob @ example.com") in found
 
 
+def test_digits_that_are_no_numbers(field):
+    for text in ("host 1.2.3.² end", "①②③④ 1.2.3.④", "4.٣.2.1 call ٠١٢٣٤٥٦٧٨٩"):
+        assert pd.all_spans(text, field)[0] == []
+
+
+def test_base_spans_of_the_table_found_by_the_field_alone(field):
+    """With the patterns out of the way, the field finds what they find."""
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    found = total = 0
+    for text in rows:
+        spans = pd.base_spans(text or "")
+        if not spans or len(text) > 20_000:
+            continue
+        own = pd.field_spans(text, field)
+        for kind, start, end in spans:
+            total += 1
+            found += any(k == kind and s < end and e > start for k, s, e in own)
+    assert total >= 5 and found >= 0.95 * total, (found, total)
+
+
 def test_a_secret_of_letters_only(field):
     secret = "QwErTyUiOpAsDfGhJkLzXcVbNmQw"
     text = f"{'plain words of prose ' * 9}token = {secret} and more"
