@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.queries import metadata, passthrough, retrieval, semantic, text  # noqa: F401
+from tessella.queries import metadata, more, passthrough, retrieval, semantic, text  # noqa: F401
 from tessella.queries.base import ORACLES, QUERIES
 from tessella.queries.semantic import flagship
 
