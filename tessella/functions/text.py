@@ -132,6 +132,19 @@ def md5_short(text: Column, size: int = 32, salt: str = "") -> Column:
     return F.substring(F.md5(F.concat(text, F.lit(salt))), 1, size)
 
 
+def model_name(text: Column) -> Column:
+    """Lower case; one kind of joint, the hyphen where there is one; letters, digits and joints only, none at the ends."""
+    low = F.regexp_replace(F.lower(text), "[ -]+", "-")
+    joined = F.when(F.contains(low, F.lit("-")), F.replace(low, F.lit("_"), F.lit("-"))).otherwise(low)
+    return F.regexp_replace(F.regexp_replace(joined, "[^a-z0-9_-]", ""), "^[-_]|[-_]$", "")
+
+
+def decoded(text: Column) -> Column:
+    """What Base64 text stands for, if that is valid UTF-8; else the text."""
+    raw = F.try_to_binary(text, F.lit("base64"))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(text)
+
+
 def stable_uuid(text: Column) -> Column:
     """Version-5 UUID of the SHA-256 hex of ``text`` in the all-zero name space."""
     hexes = F.sha1(F.concat(F.unhex(F.lit("0" * 32)), F.sha2(text, 256).cast("binary")))

@@ -101,3 +101,19 @@ def vote(candidates: DataFrame) -> DataFrame:
 
 def case_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, CASE)
+
+
+def top_sample(result: DataFrame, metric: str, n: int) -> DataFrame:
+    """The rows of a grouped result with the largest values of a metric, for cases without golden SQL."""
+    return result.orderBy(F.desc(metric), *[c for c in result.columns if c != metric]).limit(n)
+
+
+def history_sample(history: DataFrame, databases: list[str] | None = None, schemas: list[str] | None = None, k: int = 10, seed: int = 0) -> DataFrame:
+    """At most ``k`` statements (query_text, rows_produced) with more than one row that name a database and a schema."""
+    found = history.where("rows_produced > 1")
+    for names in (databases, schemas):
+        if names is not None:
+            low = F.lower("query_text")
+            named = [F.contains(low, F.lit(n.lower())) for n in names]
+            found = found.where(F.array_max(F.array(*named)) if named else F.lit(False))
+    return found.orderBy(F.xxhash64("query_text", F.lit(seed)), "query_text").limit(k)

@@ -167,7 +167,11 @@ def value_candidates(questions: DataFrame, mappings: DataFrame, samples: DataFra
 
 
 def training_rows(samples: DataFrame) -> DataFrame:
-    """Samples (kind, question, content) with stable ids; SQL without a question and empty contents are dropped."""
+    """Samples (kind, question, content) with stable ids; SQL without a question and empty contents are dropped.
+
+    Contents in Base64 are decoded.
+    """
+    samples = samples.withColumn("content", tx.decoded(F.col("content")))
     text = F.coalesce(F.col("question"), F.lit("")), F.col("content")
     kept = samples.where(F.col("kind").isin(*TRAINING_SUFFIXES) & (F.trim("content") != "")).where(
         (F.col("kind") != "sql") | (F.trim(F.coalesce("question", F.lit(""))) != "")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dates, extract
 from tessella.functions import text as tx
-from tessella.operators import chunks
+from tessella.operators import chunks, evaluate
 from tessella.operators import metadata as md
 from tessella.operators import retrieval as rt
+from tessella.operators.collection import Collections
 from tessella.operators.store import MetadataStore
 from tessella.plans import guard, repair
 from tessella.queries.base import query, table
@@ -24,9 +25,9 @@ def txt_mostly_cjk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.mostly_cjk(F.col("text")).alias("cjk"))
 
 
-@query("txt_synonyms", "SELECT p_partkey, CASE WHEN replace(replace(p_name, 'part', 'piece'), 'PROMO', 'OFFER') = p_name THEN p_name ELSE p_name || '|' || replace(replace(p_name, 'part', 'piece'), 'PROMO', 'OFFER') END AS forms FROM (SELECT p_partkey, trim(p_name || ' ' || p_type) AS p_name FROM part)")
+@query("txt_synonyms", "SELECT p_partkey, CASE WHEN replace(replace(p_name, 'widget', 'gadget'), 'PROMO', 'OFFER') = p_name THEN p_name ELSE p_name || '|' || replace(replace(p_name, 'widget', 'gadget'), 'PROMO', 'OFFER') END AS forms FROM (SELECT p_partkey, trim(p_name || ' ' || p_type) AS p_name FROM part)")
 def txt_synonyms(spark, sf_dir):
-    forms = tx.expand_synonyms_column(F.concat_ws(" ", "p_name", "p_type"), {"PROMO": "OFFER", "part": "piece"})
+    forms = tx.expand_synonyms_column(F.concat_ws(" ", "p_name", "p_type"), {"PROMO": "OFFER", "widget": "gadget"})
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(forms, "|").alias("forms"))
 
 
@@ -182,3 +183,68 @@ def meta_physical_mappings(spark, sf_dir):
     dimensions = spark.createDataFrame([("nation", "t_nation", "n_name"), ("segment", "t_customer", "c_mktsegment")], "dimension_key string, table_key string, field string")
     tables = spark.createDataFrame([("t_nation", "nation"), ("t_customer", "customer")], "table_key string, physical_table string")
     return md.physical_mappings(mappings, dimensions, tables).select("dimension_key", "nl_term", "db_value")
+
+
+def lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding service: length and number of vowels."""
+    return [[float(len(t)), float(sum(c in "AEIOUaeiou" for c in t))] for t in texts]
+
+
+@query("col_page", "SELECT CAST(p_partkey AS VARCHAR) || '-0' AS chunk_id, p_name AS preview, p_brand AS brand FROM part ORDER BY 1 LIMIT 10 OFFSET 10")
+def col_page(spark, sf_dir):
+    """Parts vectorised by name with their brand as metadata; the second page."""
+    store = Collections(spark, shared_path(spark, "collections"), lengths)
+    store.add("parts", table(spark, sf_dir, "part"), "p_partkey", ["p_name"], ["p_brand"])
+    return written(store.page("parts", 2, 10).select("chunk_id", "preview", F.col("meta")["p_brand"].alias("brand")), "page")
+
+
+@query(
+    "col_listed",
+    "SELECT 'nations' AS collection, count(*) - 5 AS documents, count(*) - 5 AS chunks, CAST(sum(length(n_name)) FILTER (n_nationkey >= 5) AS DOUBLE) AS lengths FROM nation "
+    "UNION ALL SELECT 'regions', count(*), count(*), CAST(sum(length(r_name)) AS DOUBLE) FROM region",
+)
+def col_listed(spark, sf_dir):
+    """Two collections after an addition, a repeated addition and a removal."""
+    store, nation = Collections(spark, shared_path(spark, "collections"), lengths), table(spark, sf_dir, "nation")
+    store.add("nations", nation, "n_nationkey", ["n_name"])
+    store.add("nations", nation.where("n_nationkey < 9"), "n_nationkey", ["n_name"])
+    store.remove("nations", nation.where("n_nationkey < 5").select(F.col("n_nationkey").cast("string").alias("parent_id")))
+    store.add("regions", table(spark, sf_dir, "region"), "r_regionkey", ["r_name"])
+    sums = store.rows().groupBy("collection").agg(F.sum(F.col("embedding")[0]).alias("lengths"))
+    return written(store.listed().join(sums, "collection"), "listed")
+
+
+@query("col_whole", "SELECT CAST(n_nationkey AS VARCHAR) AS qid, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region, 'x' AS extra FROM nation")
+def col_whole(spark, sf_dir):
+    """Results with whole texts; metadata goes into JSON texts where it adds a key."""
+    store = Collections(spark, shared_path(spark, "collections"), lengths)
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", F.lit("x").alias("extra"))
+    store.add("nations", rows, "n_nationkey", ["n_name", "n_regionkey"], ["extra"])
+    results = rows.select(F.col("n_nationkey").cast("string").alias("qid"), F.concat("n_nationkey", F.lit("-0")).alias("doc_id"))
+    found = store.whole("nations", results)
+    at = lambda k: F.get_json_object("text", f"$.{k}")
+    return written(found.select("qid", at("n_name").alias("name"), at("n_regionkey").alias("region"), at("extra").alias("extra")), "whole")
+
+
+@query("txt_model_name", "SELECT * FROM (VALUES ('My  Model_v1!', 'my-model-v1'), ('plain_name_', 'plain_name'), ('A--B', 'a-b'), ('-x y-', 'x-y')) t(given, name)")
+def txt_model_name(spark, sf_dir):
+    given = spark.createDataFrame([("My  Model_v1!",), ("plain_name_",), ("A--B",), ("-x y-",)], "given string")
+    return given.select("given", tx.model_name(F.col("given")).alias("name"))
+
+
+@query("txt_base64", "SELECT n_nationkey, n_name AS decoded FROM nation")
+def txt_base64(spark, sf_dir):
+    half = F.when(F.col("n_nationkey") % 2 == 0, F.base64(F.col("n_name").cast("binary"))).otherwise(F.concat("n_name", F.lit("")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", tx.decoded(half).alias("decoded"))
+
+
+@query("eval_top_sample", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def eval_top_sample(spark, sf_dir):
+    return evaluate.top_sample(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "n", 20)
+
+
+@query("hist_filtered", "SELECT count(*) AS n FROM part WHERE p_size > 1 AND contains(lower(p_name), 'widget') AND (contains(lower(p_name), 'cold') OR contains(lower(p_name), 'small'))")
+def hist_filtered(spark, sf_dir):
+    """Statements of a history that name a database and one of two schemas."""
+    history = table(spark, sf_dir, "part").select(F.col("p_name").alias("query_text"), F.col("p_size").alias("rows_produced"))
+    return evaluate.history_sample(history, ["WIDGET"], ["cold", "Small"], k=1 << 30).agg(F.count(F.lit(1)).alias("n"))
