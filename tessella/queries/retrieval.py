@@ -16,9 +16,10 @@ TOKENS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')"
 ASKED_SQL = "(SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark WHERE item_id % 20 = 0) q"
 QUERY_TOKENS = TOKENS.replace("text", "query")
 BM25_SQL = f"""
-p AS (SELECT doc_id, len({TOKENS}) AS dl, unnest({TOKENS}) AS term FROM documents),
+w AS MATERIALIZED (SELECT doc_id, {TOKENS} AS ts FROM documents),
+p AS (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM w),
 t AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
-s AS (SELECT count(*) AS n, avg(len({TOKENS})) AS avgdl FROM documents),
+s AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM w),
 i AS (SELECT term, ln(s.n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM t, s GROUP BY term, s.n),
 e AS (SELECT 0.25 * avg(raw) AS floor FROM i),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN e.floor ELSE raw END AS idf FROM i, e),
@@ -72,9 +73,16 @@ def ret_ngram_topk(spark, sf_dir):
     return ranked(rt.ngram_scores(rt.ngram_index(table(spark, sf_dir, "documents")), asked(spark, sf_dir)), 10)
 
 
-@query("ret_substring_topk", f"WITH {SUB_SQL} {top('sb', 10)}")
+#: Whole documents as queries: every twentieth, in all documents that hold it.
+SUB_DOCS_SQL = SUB_SQL.replace(ASKED_SQL, "(SELECT CAST(doc_id AS VARCHAR) AS qid, trim(text) AS query FROM documents WHERE doc_id % 20 = 0 AND trim(text) <> '') q").replace(
+    "SELECT qid, doc_id, 0.7", "SELECT qid, d.doc_id, 0.7").replace("FROM documents, ", "FROM documents d, ")
+
+
+@query("ret_substring_topk", f"WITH {SUB_DOCS_SQL} {top('sb', 10)}")
 def ret_substring_topk(spark, sf_dir):
-    return ranked(rt.substring_scores(table(spark, sf_dir, "documents"), asked(spark, sf_dir)), 10)
+    docs = table(spark, sf_dir, "documents")
+    wanted = docs.where("doc_id % 20 = 0").select(F.col("doc_id").cast("string").alias("qid"), F.col("text").alias("query"))
+    return ranked(rt.substring_scores(docs, wanted), 10)
 
 
 #: The query set of the vector searches: every twentieth vector.
@@ -169,10 +177,10 @@ BALANCED_SQL = fusion_sql("0.6 * sm + 0.4 * b", {"sv": "vq", "bm": "b9"}, "asked
 SEMANTIC_SQL = fusion_sql("0.8 * sm + 0.2 * b", {"sv": "vq", "bm": "b9"}, "true")
 FUSED_SQL = " SELECT qid, doc_id, round(score, 6) AS score, hits FROM rk"
 TAIL_SQL = """,
-t AS (SELECT *, count(*) OVER p AS n, max(score) OVER p AS best, lag(score) OVER (PARTITION BY qid ORDER BY rank) AS before FROM rk WINDOW p AS (PARTITION BY qid)),
-u AS (SELECT *, count(*) FILTER (score >= 0.75 * best) OVER (PARTITION BY qid) AS near,
-      min(CASE WHEN rank >= 3 AND before > 0 AND (before - score) / before >= 0.3 THEN rank END) OVER (PARTITION BY qid) AS cut FROM t)
-SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM u
+t1 AS (SELECT *, count(*) OVER p AS n, max(score) OVER p AS best, lag(score) OVER (PARTITION BY qid ORDER BY rank) AS before FROM rk WINDOW p AS (PARTITION BY qid)),
+t2 AS (SELECT *, count(*) FILTER (score >= 0.75 * best) OVER (PARTITION BY qid) AS near,
+      min(CASE WHEN rank >= 3 AND before > 0 AND (before - score) / before >= 0.3 THEN rank END) OVER (PARTITION BY qid) AS cut FROM t1)
+SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM t2
 WHERE n <= 3 OR best <= 0 OR CASE WHEN near >= 3 THEN score >= 0.75 * best ELSE cut IS NULL OR rank < cut END"""
 
 
